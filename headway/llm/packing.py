@@ -15,8 +15,8 @@ in memory: no shuffle, no state between tasks, and a lost task is simply run aga
 the partition's number times 2**32 plus a counter, so a group never spans tasks.
 
 Tokens come from the tokenizers library.  Its pre-tokenizer drops white space, so a text's tokens are those of its
-blank-separated chunks; a task keeps the ids of chunks that it has seen (at most ``MEMO`` of them) and has the library
-encode the others in batches.
+blank-separated chunks; a Python worker keeps the ids of chunks that it has seen (at most ``MEMO`` of them) and has the library
+encode the others, many at once.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are packed as often as they occur; an empty
 table gives an empty result.
@@ -29,14 +29,18 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TIERS = (2048, 1024, 512, 256)
-STEP_TOKENS, BLOCK, MEMO, END = 16 * 2048, 1 << 21, 400_000, 1
+STEP_TOKENS, BLOCK, MEMO, END = 16 * 2048, 1 << 21, 800_000, 1
+LONG = 64  # characters of a chunk that isn't kept
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
@@ -50,16 +54,33 @@ class Encoder:
 
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > self.most:
-            self.memo = {"": b""}
         memo = self.memo
-        new = list({c for words in chunks for c in words if c not in memo})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                memo[c] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(memo.__getitem__, words)) + end for words in chunks]
+        new = list(set().union(*chunks).difference(memo))
+        for at in range(0, len(new), 1000):
+            self.learn(new[at : at + 1000])
+        out = [b"".join(map(memo.__getitem__, words)) + end for words in chunks]
+        for c in new:
+            if len(c) > LONG:
+                del memo[c]
+        if len(memo) > self.most:  # frequent chunks came early
+            self.memo = dict(islice(memo.items(), self.most // 2))
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks as one text and take it apart by the tokens' offsets."""
+        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        cuts = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1).tolist()
+        data = ids.tobytes()
+        self.memo.update((c, data[4 * a : 4 * b]) for c, a, b in zip(chunks, cuts, [*cuts[1:], len(ids)], strict=True))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whose later tasks find the chunks of earlier ones."""
+    return Encoder(path)
 
 
 class Packer:
@@ -154,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_t
     types = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = Encoder(tokenizer), struct.pack("<I", end)
+        encode, closing = encoder(tokenizer), struct.pack("<I", end)
         packer = Packer(TaskContext.get().partitionId() << 32, tiers, step_tokens)
 
         def out(last: bool) -> Iterator[pa.RecordBatch]:
