@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, packing, quality, sharding, simhash, toxicity, url_filter, vectors
+from . import chat, lm_scoring, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
 from .common import fold, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids (their number, checksum and whether both libraries agree), and whether decoding gives the text back."""
+    path = tokenizer_path(PIECES)
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = sentencepiece_codec.decode(coded, path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "parity", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 4) == 2)
     model = toxicity.train(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
@@ -44,6 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -79,5 +91,23 @@ from (select p.*, (select max_by(struct_pack(rule := r.rule, verdict := r.verdic
 """
 
 
+OP7_SQL = """
+with t as (
+  select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as speaker, replace(coalesce(text, ''), '<|', '< |') as body from conversations),
+p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+r as (
+  select t.*, p.perspective,
+         case when speaker = 'system' then '<|system|>' when speaker = perspective then '<|assistant|>' else '<|user name=' || speaker || '|>' end || chr(10) as head
+  from t join p on t.conv_id is not distinct from p.conv_id),
+s as (select *, head || body || '<|end|>' || chr(10) as segment from r),
+o as (
+  select *, row_number() over w - 1 as position, sum(length(segment)) over (w rows unbounded preceding) as upto from s
+  window w as (partition by conv_id, perspective order by turn nulls last, speaker, body))
+select conv_id, perspective, cast(position as bigint) as position, turn, speaker, segment, cast(upto - length(segment) as bigint) as start, cast(upto as bigint) as "end",
+       cast(case when speaker = perspective then upto - length(segment) + length(head) end as bigint) as mask_start
+from o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op7_chat_formatting": OP7_SQL}
