@@ -1,0 +1 @@
+"""Transit delay jobs on Spark: baselines, route indexes, arrival estimates and delay models as DataFrame plans."""
