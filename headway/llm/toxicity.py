@@ -176,10 +176,13 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field:
     """Fit on the sample of ``docs`` that ``labels`` (doc_id, toxic) covers."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars)).join(marks, "doc_id")
-    rank = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    rows = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(*rank).limit(sample).select("text", "toxic").collect()]
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows])
+    fine = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars))
+    known = fine.select("doc_id").join(marks, "doc_id")  # ids alone are shuffled, and the sample's broadcast
+    rows = []
+    for y in (0, 1):
+        chosen = known.filter(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        rows += [(r.text, y) for r in fine.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def score(docs: DataFrame, model: Field, text: str = "text", lanes: int = 1000) -> DataFrame:
