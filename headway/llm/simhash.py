@@ -125,7 +125,8 @@ def _cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
 def links(fps: DataFrame, distance: int = DISTANCE, axes: int = AXES, block: int = BLOCK) -> DataFrame:
     """``a, b``: links that join all fingerprints (column ``fp``, distinct) within the distance, without listing all pairs."""
     all_masks = F.array(*map(F.lit, masks(distance, axes)))
-    points = fps.select("fp", F.posexplode(all_masks).alias("mask", "bits")).select("fp", "mask", point(F.col("fp")).bitwiseAND(F.col("bits")).alias("cell"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = fps.repartition(parts, "fp").select("fp", F.posexplode(all_masks).alias("mask", "bits")).select("fp", "mask", point(F.col("fp")).bitwiseAND(F.col("bits")).alias("cell"))
     cells = cut(points.groupBy("mask", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     a, b = F.col("a"), F.col("b")
