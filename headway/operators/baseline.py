@@ -13,7 +13,7 @@ STOP, ROUTE = SLOT[:3], SLOT[:2]
 
 def partial_sums(visits: DataFrame) -> DataFrame:
     """Sum and count of delays per slot: the one pass over the visits, from which every grain follows.  Also adds up over days."""
-    return visits.groupBy(*SLOT).agg(F.sum("delay_minutes").alias("total"), F.count("delay_minutes").alias("n"))
+    return visits.groupBy(*SLOT).agg(F.sum("delay_minutes").alias("total"), F.count("delay_minutes").alias("n"), F.count("stop_id").alias("visits"))
 
 
 def grain(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,6 +41,13 @@ def representative_route(keyed: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("route_key", F.col("route_id").alias("repr_route_id"), F.col("route_short_name").alias("repr_route_short_name"))
 
 
+def representative_from_sums(sums: DataFrame) -> DataFrame:
+    """The same from ``partial_sums``: route keys are made of the few pairs of routes, not of the visits."""
+    pairs = sums.groupBy(*ROUTE).agg(F.sum("visits").alias("n")).withColumn("route_key", F.explode(F.array_distinct(F.array("route_short_name", "route_id"))))
+    order = Window.partitionBy("route_key").orderBy(F.desc("n"), "route_id", "route_short_name")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("route_key", F.col("route_id").alias("repr_route_id"), F.col("route_short_name").alias("repr_route_short_name"))
+
+
 def lookup_delay(stops: DataFrame, sums: DataFrame) -> DataFrame:
     """Add ``mean_delay`` and ``delay_level`` to rows with a representative route, a stop, a weekday and an hour.
 

@@ -34,8 +34,9 @@ def segments(requests: DataFrame, visits: DataFrame) -> DataFrame:
 
 def with_delays(requests: DataFrame, visits: DataFrame) -> DataFrame:
     """Segments with their representative route, ``mean_delay`` and ``delay_level``."""
-    rows = segments(requests, visits).join(baseline.representative_route(clean.route_keys(visits)), "route_key")
-    return baseline.lookup_delay(rows, baseline.partial_sums(visits))
+    sums = baseline.partial_sums(visits)
+    rows = segments(requests, visits).join(baseline.representative_from_sums(sums), "route_key")
+    return baseline.lookup_delay(rows, sums)
 
 
 def timeline(requests: DataFrame, visits: DataFrame) -> DataFrame:
