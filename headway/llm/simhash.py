@@ -140,11 +140,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, axes: int = AXES, block: int
     return pairs.unionAll(work.mapInArrow(lambda x: _cells(x, distance), "a long, b long"))
 
 
+def roots(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, root`` of every fingerprint (column ``fp``, distinct): the smallest fingerprint of its component."""
+    found = components(links(fps, distance), "a", "b").withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` from ``doc_id, fp``."""
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(ids.select("fp"), distance), "a", "b").withColumnRenamed("node", "fp")
-    rooted = ids.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = ids.join(roots(ids.select("fp"), distance), "fp")
     named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
     return fps.join(named, "fp")
 
@@ -156,16 +161,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents that are the smallest of their component, one row for each, with all their columns.
+    """One row for each component, with all its columns: the smallest id (null last), of equal ids the smallest fingerprint.
 
-    Rows with a null id stay only if no other row is in their component, one of them.
+    Components are told apart by their roots, not by their ids: texts without an id, or under the same one, don't replace
+    each other.
     """
-    printed = cut(_with_fingerprint(docs, shingle))
-    named = groups(printed.select("doc_id", "fp"), distance).select("doc_id", "fp", "component_id").distinct()
-    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("doc_id"), "fp")
-    null = F.lit(-(1 << 63))
-    kept = printed.withColumn("__id", F.coalesce("doc_id", null)).join(first.select(F.coalesce("doc_id", null).alias("__id"), "fp"), ["__id", "fp"], "left_semi")
-    return kept.dropDuplicates(["__id"]).select(*docs.columns)
+    printed = cut(_with_fingerprint(docs, shingle).withColumn("__row", F.monotonically_increasing_id()))
+    first = first_rows(printed, "fp")
+    return chosen_rows(printed, first, cut(roots(first.select("fp"), distance)), "fp").select(*docs.columns)
+
+
+def first_rows(rows: DataFrame, node: str) -> DataFrame:
+    """Each node's first row by ``doc_id`` (null last), node and ``__row``: ``node, first``."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(node).alias("node"), "__row")
+    return cut(rows.groupBy(node).agg(F.min(order).alias("first")))
+
+
+def chosen_rows(rows: DataFrame, first: DataFrame, rooted: DataFrame, node: str) -> DataFrame:
+    """The first row of each root."""
+    best = first.join(rooted, node).groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(best.select("first.__row"), "__row", "left_semi")
 
 
 def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:

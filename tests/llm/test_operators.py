@@ -262,6 +262,13 @@ def test_keep_one(small, odd):
         assert Counter(r.doc_id for r in kept.collect()) == Counter({c for _, _, c in groups})
 
 
+def test_keep_one_tells_components_by_root(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (7, text(5)), (7, text(6)), (7, text(6)), (9, text(4))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, text(k)) for k in range(4)] + [(9, text(4)), (7, text(5)), (7, text(6))])
+
+
 # Components
 
 
