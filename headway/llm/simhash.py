@@ -34,17 +34,25 @@ from .components import components
 SHINGLE, DISTANCE, AXES, BLOCK, SEED = 4, 4, 8, 1024, 42
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text, as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of all shingles of a text; of no words, that of the empty one."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # of bytes: A-Z, and the six white-space characters of the word rule
     if not words:
-        return 0
+        return np.array([xxh64_intdigest(b"", SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     data, n = b" ".join(words), max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    hashes = np.fromiter((xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts, ends[len(words) - n :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts, ends[len(words) - n :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text, as a signed 64-bit number."""
+    if not (text or "").encode().split():
+        return 0
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 255):  # a byte holds the count
         bits = np.unpackbits(hashes[at : at + 255].byteswap().view(np.uint8).reshape(-1, 8), axis=1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("headway.llm")
 
-from headway.llm import chat, components, lm_scoring, packing, quality, queries, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
+from headway.llm import chat, components, lm_scoring, packing, quality, queries, sentencepiece_codec, sharding, shingles, simhash, toxicity, url_filter, vectors
 from headway.llm.common import fold
 
 SMALL = "/root/testdata/sf0.001"
@@ -269,6 +269,37 @@ def test_keep_one_tells_components_by_root(spark):
     assert Counter(map(tuple, kept)) == Counter([(None, text(k)) for k in range(4)] + [(9, text(4)), (7, text(5)), (7, text(6))])
 
 
+@pytest.mark.parametrize(("small_cell", "block"), [(8, 128), (2, 4)])
+def test_shingles_keep_one(spark, small, monkeypatch, small_cell, block):
+    rng = np.random.default_rng(11)
+    texts = [d.text for d in small.collect()]
+    for c in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        for _ in range(int(rng.integers(2, 25))):  # copies with some words changed: similarities around 0.8, and chains
+            copy = list(base)
+            for at in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+                copy[at] = f"z{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+            base = copy if c % 2 else base
+    texts += [None, "", "a b", "A  b"]
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for t in texts)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = brute_components(range(len(sets)), near)
+    links = shingles.links
+    monkeypatch.setattr(shingles, "links", lambda *a: links(*a, small_cell, block))
+    table = spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id long, text string, copy string").repartition(5)
+    kept = shingles.keep_one(table).collect()
+    least = {}
+    for (i, _), at in zip(rows, range(len(rows)), strict=True):
+        least[roots[at]] = min((i is None, i or 0), least.get(roots[at], (True, 0)))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == Counter(least.values())
+    assert all(r.text == r.copy for r in kept)
+    far = [(a, b) for a, b in near if (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() > 4]
+    assert far  # similar texts that four bits of a fingerprint don't link
+    assert shingles.keep_one(table.filter("false")).count() == 0
+
+
 # Components
 
 

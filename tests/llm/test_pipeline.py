@@ -1,5 +1,7 @@
 """The pipeline against its stages' brute-force versions."""
 
+import itertools
+
 import pytest
 
 pytest.importorskip("headway.llm")
@@ -8,7 +10,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from headway.llm import queries
 from headway.llm.common import cut
 
-from .test_operators import brute_counts, brute_fingerprint, brute_groups, check_packing
+from .test_operators import brute_components, brute_counts, brute_fingerprint, brute_groups, check_packing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +39,11 @@ def test_registered(spark):
     assert queries.queries()["pipeline"] is corpus_pipeline.run
     assert queries.queries()["pipeline"](spark, FOLDER).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_stage_is_five_words_at_four_fifths(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    sets = {d.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d in docs.collect() for w in [d.text.encode().lower().split()]}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, FOLDER)
+    assert sorted(d.doc_id for d in kept.collect()) == sorted(set(brute_components(sorted(sets), near).values()))
