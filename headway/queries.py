@@ -354,7 +354,7 @@ def assemble_features(spark, d):
 
 
 def _trained(spark, d) -> training.Trained:
-    return training.train_delay_model(visits(spark, d), trees=10, rounds=5)
+    return training.train_delay_model(visits(spark, d))
 
 
 @query

@@ -204,3 +204,13 @@ def test_training_beats_the_mean_and_survives_saving(spark, tmp_path):
     assert rows.filter("predicted_delay_minutes is null").count() == 0
     assert status.filter("status = 'ok'").count() == rows.select("request_id").distinct().count()
     assert model.feature_importance(spark, best).count() == 7
+
+
+def test_registered_models_train_with_all_trees_and_rounds(monkeypatch):
+    from headway import queries
+
+    monkeypatch.setattr(queries, "visits", lambda spark, d: "visits")
+    monkeypatch.setattr(training, "train_delay_model", lambda *a, **k: (a, k))
+    assert queries._trained(None, "") == (("visits",), {})
+    assert training.__dict__["model"].train_random_forest.__defaults__[0] == 30
+    assert training.__dict__["model"].train_boosted_trees.__defaults__[0] == 50
