@@ -450,18 +450,20 @@ def test_sentencepiece(small, odd, none):
     from sentencepiece import SentencePieceProcessor
 
     path = queries.tokenizer_path(queries.PIECES)
-    theirs = SentencePieceProcessor(model_file=path)
+    theirs, rebuilt = SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path).tokenizer
     for docs in (small, odd):
         rows = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path).collect()
         assert len(rows) == docs.count()
         for r in rows:
             assert r.ids == theirs.encode(r.text or "")
             assert r.parity
-            assert r.decoded == theirs.decode(r.ids)
+            assert r.decoded == theirs.decode(r.ids) == rebuilt.decode(r.ids, skip_special_tokens=False)
     assert sentencepiece_codec.encode(none, path).count() == 0
 
 
-def test_unigram_model_is_rebuilt():
+def protobuf(pieces, kind=1):
+    """A model file of (piece, score, kind of piece)."""
+
     def varint(n):
         out = b""
         while n > 127:
@@ -471,15 +473,45 @@ def test_unigram_model_is_rebuilt():
     def message(number, data):
         return varint(number << 3 | 2) + varint(len(data)) + data
 
-    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁", -3.0, 1), ("a", -4.0, 1), ("▁ab", -2.5, 1)]
     data = b"".join(message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", s) + (bytes([0x18, k]) if k != 1 else b"")) for p, s, k in pieces)
-    data += message(2, varint(3 << 3) + varint(1)) + message(3, message(1, b"identity"))
+    return data + message(2, varint(3 << 3) + varint(kind)) + message(3, message(1, b"identity"))
+
+
+UNIGRAM = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁", -3.0, 1), ("a", -4.0, 1), ("▁ab", -2.5, 1)]
+MERGES = [("<unk>", 0.0, 2), ("▁", -5.0, 1), ("a", -6.0, 1), ("b", -7.0, 1), ("c", -8.0, 1), ("ab", -1.0, 1), ("▁ab", -2.0, 1)]
+
+
+@pytest.mark.parametrize(("pieces", "kind"), [(UNIGRAM, 1), ([*UNIGRAM, ("ba", 0.0, 4)], 1), (MERGES, 2), ([*MERGES, ("bc", 0.0, 4)], 2)])
+def test_small_models_are_rebuilt(pieces, kind):
     from sentencepiece import SentencePieceProcessor
 
+    data = protobuf(pieces, kind)
     theirs = SentencePieceProcessor(model_proto=data)
     ours = sentencepiece_codec.rebuild(sentencepiece_codec.parse(data))
-    for text in ("ab", "a b", "ba ab", "b", "a  a"):
-        assert ours.encode(text, add_special_tokens=False).ids == theirs.encode(text)
+    for n in range(1, 6):
+        for text in map("".join, itertools.product("ab c", repeat=n)):
+            if text.strip() and "c" not in text.replace("bc", "") or kind == 2 and text.strip():
+                assert ours.encode(text, add_special_tokens=False).ids == theirs.encode(text), text
+
+
+def test_sentencepiece_query(spark, small):
+    from sentencepiece import SentencePieceProcessor
+
+    theirs = SentencePieceProcessor(model_file=queries.tokenizer_path(queries.PIECES))
+    want = {d.doc_id: theirs.encode(d.text) for d in small.collect()}
+    table = spark.createDataFrame([(i, ids) for i, ids in want.items()], "doc_id long, ids array<int>").select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.lit(True).alias("parity"), F.lit(True).alias("restored"))
+    assert Counter(map(tuple, queries.op5_sentencepiece(spark, SMALL).collect())) == Counter(map(tuple, table.collect()))
+
+
+def test_bytes_that_are_not_utf8_decode_as_the_library_does():
+    from sentencepiece import SentencePieceProcessor
+
+    path = queries.tokenizer_path(queries.PIECES)
+    own, theirs = sentencepiece_codec.Codec(path), SentencePieceProcessor(model_file=path)
+    byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(own.model.pieces) if k == sentencepiece_codec.BYTE}
+    for raw in (b"\xff", b"a\xe2\x96", b"\xf0\x9f\x98b\x80", b"\xe2\x96\x81"):
+        ids = [byte[b] for b in raw]
+        assert own.decode(ids) == theirs.decode(ids)
 
 
 # Chat
