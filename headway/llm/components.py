@@ -2,8 +2,10 @@
 
 Each round hangs every node's larger neighbours on its smallest one (large star), then its smaller neighbours and itself
 (small star); the rounds end when a round changes nothing, after about log(nodes) rounds.  Links stay a table: each
-round is two group-bys and two joins, cut by ``checkpoint()`` in the shared folder.  A node with very many links is
-summed before the shuffle, and its join is one that adaptive execution can split.
+round is two group-bys and two joins, written to the shared folder, and the round before is deleted.  A node with very many
+links is summed before the shuffle, and its join is one that adaptive execution can split.  Nodes may be of any type with
+an order, structs too: with the wanted name of a component as a node's first field, the root carries that name and nothing
+has to be joined to it afterwards.
 
 Edge cases: links with a null end are ignored, as are links of a node with itself; repeated links count once.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import cut, scope
 
 
 def _star(links: DataFrame, both: bool) -> DataFrame:
@@ -31,12 +33,16 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """``node, root`` for every node of a link; the root is the smallest node of its component."""
-    links = checkpoint(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = _state(links)
-    for _ in range(max_rounds):
-        links = checkpoint(_star(_star(links, True), False))
-        if state == (state := _state(links)):
-            break
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
+    links = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    with scope():
+        links = cut(links)
+        state = _state(links)
+        for _ in range(max_rounds):
+            with scope():
+                links = cut(_star(_star(links, True), False), keep=True)
+            if state == (state := _state(links)):
+                break
+        else:
+            raise RuntimeError(f"no end after {max_rounds} rounds")
+        links = cut(links, keep=True)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(links.select("v", "v").distinct())

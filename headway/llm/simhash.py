@@ -4,18 +4,21 @@ A fingerprint's 64 bits are cut into 32 segments; the numbers of bits in the seg
 Manhattan distance to another point is at most the fingerprints' Hamming distance.  With the counts 0, 1, 2 written
 as 00, 01, 11, a point is a 64-bit number and the Manhattan distance of two points is the count of bits in which they differ.
 
-The grid has 8 axes of 4 segments.  Points within distance 4 agree on at least 4 axes, so each point is put into one cell
-for each of the 70 choices of 4 axes, and only points that share a cell are compared: first by the Manhattan bound,
-then by the fingerprints themselves.  Cells are nearly as selective as 24 random bits, so unrelated points
-rarely meet.  Equal fingerprints are one point, whatever the number of copies.
+The grid has 8 axes of 4 segments.  A range of 4 in Manhattan distance leaves at least 4 axes untouched, so the range join
+becomes equi-joins: each point is put into one cell for each of the 70 choices of 4 axes, and only points that share a
+cell are compared: always by the Manhattan bound first, then by the fingerprints themselves.  Cells are nearly as
+selective as 24 random bits, so unrelated points rarely meet.  Equal fingerprints are one point, whatever the number of
+copies.
 
 A cell of two points is decided from its smallest and largest member.  Larger cells are cut by hash into blocks of about
 ``BLOCK`` points; each pair of blocks is one bounded piece of work, which returns at most one link per point (to the
-smallest point it reaches there) instead of all pairs.  The components are those of all links within the distance.
+smallest point it reaches there) instead of all pairs; a point of a cell of n is copied n / ``BLOCK`` times.  The components
+are those of all links within the distance; a node starts with its smallest doc_id, so a component's root is its name.
 
 Edge cases: a null or empty text has fingerprint 0, linked like any other; fewer words than a shingle make one shingle
-of them all; a null doc_id takes part but never names a component (null if there is no other); repeated rows are
-returned as often as they occur; an empty table gives an empty result.
+of them all; texts of any length are read whole; a bit set in just half the shingles is 0; a null doc_id takes part but
+never names a component (null if there is no other); repeated rows are returned as often as they occur; an empty table
+gives an empty result; more columns are dropped, whatever their names (``keep_one`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scope
 from .components import components
 
 SHINGLE, DISTANCE, AXES, BLOCK, SEED = 4, 4, 8, 1024, 42
@@ -85,9 +88,25 @@ def masks(distance: int = DISTANCE, axes: int = AXES) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(one, axes - distance))]
 
 
+def _points(fp: np.ndarray) -> np.ndarray:
+    """``point`` of an array."""
+    x = fp.view(np.uint64)
+    odd = np.uint64(0x5555555555555555)
+    other = x >> np.uint64(1)
+    return ((x | other) & odd) | ((x & other & odd) << np.uint64(1))
+
+
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which fingerprints are within the distance: those that pass the bound of their points are compared exactly."""
+    near = np.bitwise_count(_points(a)[:, None] ^ _points(b)[None, :]) <= distance
+    i, j = np.nonzero(near)
+    near[i, j] = np.bitwise_count((a[i] ^ b[j]).view(np.uint64)) <= distance
+    return near
+
+
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from points of two sorted sets of fingerprints to the smallest one that they reach through pairs (a, b)."""
-    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance
+    near = _near(a, b, distance)
     la, lb = a.copy(), b.copy()
     most = np.iinfo(np.int64).max
     while True:
@@ -134,7 +153,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, axes: int = AXES, block: int
     """``a, b``: links that join all fingerprints (column ``fp``, distinct) within the distance, without listing all pairs."""
     all_masks = F.array(*map(F.lit, masks(distance, axes)))
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points = fps.repartition(parts, "fp").select("fp", F.posexplode(all_masks).alias("mask", "bits")).select("fp", "mask", point(F.col("fp")).bitwiseAND(F.col("bits")).alias("cell"))
+    # By another hash than that of a group-by on fp, whose partitions would be kept however few they are.
+    points = fps.repartition(parts, F.xxhash64(F.lit("spread"), "fp")).select("fp", F.posexplode(all_masks).alias("mask", "bits")).select("fp", "mask", point(F.col("fp")).bitwiseAND(F.col("bits")).alias("cell"))
     cells = cut(points.groupBy("mask", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     a, b = F.col("a"), F.col("b")
@@ -156,9 +176,14 @@ def roots(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` from ``doc_id, fp``."""
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = ids.join(roots(ids.select("fp"), distance), "fp")
-    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
+    ids = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    with scope():
+        found = cut(links(ids.select("fp"), distance).distinct())
+        node = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
+        end = lambda side: ids.select(F.col("fp").alias(side), node.alias(f"{side}_node"))
+        joined = components(found.join(end("a"), "a").join(end("b"), "b"), "a_node", "b_node")
+        named = joined.select("node.fp", F.col("root.id").alias("component_id"))
+        named = cut(ids.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), keep=True)
     return fps.join(named, "fp")
 
 
@@ -172,11 +197,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     """One row for each component, with all its columns: the smallest id (null last), of equal ids the smallest fingerprint.
 
     Components are told apart by their roots, not by their ids: texts without an id, or under the same one, don't replace
-    each other.
+    each other.  Of rows equal in both, the first of the table as it is read stays.
     """
     printed = cut(_with_fingerprint(docs, shingle).withColumn("__row", F.monotonically_increasing_id()))
-    first = first_rows(printed, "fp")
-    return chosen_rows(printed, first, cut(roots(first.select("fp"), distance)), "fp").select(*docs.columns)
+    with scope():
+        first = first_rows(printed, "__fp")
+        rooted = roots(first.select(F.col("__fp").alias("fp")), distance).withColumnRenamed("fp", "__fp")
+        chosen = cut(chosen_rows(first, rooted, "__fp"), keep=True)
+    return printed.join(chosen, "__row", "left_semi").select(*docs.columns)
 
 
 def first_rows(rows: DataFrame, node: str) -> DataFrame:
@@ -185,13 +213,12 @@ def first_rows(rows: DataFrame, node: str) -> DataFrame:
     return cut(rows.groupBy(node).agg(F.min(order).alias("first")))
 
 
-def chosen_rows(rows: DataFrame, first: DataFrame, rooted: DataFrame, node: str) -> DataFrame:
-    """The first row of each root."""
-    best = first.join(rooted, node).groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(best.select("first.__row"), "__row", "left_semi")
+def chosen_rows(first: DataFrame, rooted: DataFrame, node: str) -> DataFrame:
+    """``__row`` of the first row of each root."""
+    return first.join(rooted, node).groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
 
 
 def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns and ``fp``."""
+    """All columns and ``__fp``."""
     fp = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t, shingle)).astype("int64"), "long")
-    return docs.withColumn("fp", fp(F.col("text")))
+    return docs.withColumn("__fp", fp(F.col("text")))
