@@ -1,27 +1,32 @@
 """Near-duplicate vectors by range search in a robust-pruned graph.
 
-Vectors are compared only within their label.  Equal directions with equal numbers are one node, whatever the number of
-copies.  The method, per label:
-
-1. Cluster: centres by k-means on a bounded sample (``SAMPLE`` nodes a label, the first by hash), one per ``SHARD / 2``
-   nodes, at most ``CENTRES``; every node goes to the shards of its ``overlap`` nearest centres.  A label of at most
-   ``SHARD`` nodes is one shard.  A shard that grows beyond ``SHARD`` nodes is dealt to parts by hash.
-2. Build: in every part, each node's neighbours by similarity are pruned robustly (a neighbour is dropped if one
+Vectors are compared only within their label (and length).  Equal vectors are one node, whatever the number of copies.
+
+1. Cluster: a label with more than ``SHARD`` nodes is split by k-means, fitted on a bounded sample of its nodes (about
+   ``SAMPLE``, by hash), into at most ``BRANCH`` shards; shards that are still larger are split again, and so on, so neither
+   the number of centres nor a shard grows with the label.  At every split a node goes to its ``overlap`` nearest centres,
+   the first of which leads to its home, its others only if hardly farther (``CLOSE``).  What ``LEVELS`` splits leave too large is
+   dealt by hash.
+2. Build: in every shard, each node's neighbours by similarity are pruned robustly (a neighbour is dropped if one
    already kept is nearer to it, by ``ALPHA``, than the node is), to at most ``DEGREE``, plus links back.
-3. Union: a node's adjacency lists from all its parts are united.
-4. Search: every node is a query in the parts of its home shard (that of its nearest centre), on the united lists cut to
-   the part's nodes.  The search goes greedily from the part's medoid to the nearest nodes and, once it meets nodes
-   within the range, goes on through the neighbours of every node within the range until no new one turns up.
-5. Verify: what it meets is compared exactly, in double precision.
-6. Audit: ``audit`` compares the links of a sample of queries with brute force; ``link`` widens overlap and beam until the
-   recall is at least ``RECALL``.
-
-A part's task holds one part; it returns per node its links and their number, of links between nodes of one part only a
-spanning star, so that a dense group of thousands doesn't become all its pairs.
+3. Union: a node's adjacency lists from all its shards are united into one flat graph.
+4. Search: every node is a query in its home shard.  The search goes greedily, ``beam`` wide, from the shard's medoid along the
+   united lists to the nearest nodes, and from every node within the range on through all its neighbours until no new
+   node turns up.  Where it has met nodes that lie in further shards too, it goes on there in the next round; rounds end when
+   no query has an unseen shard to go to.  A node is counted where it is at home, so never twice.
+5. Verify: what the search meets is compared exactly, in double precision.
+6. Audit: the links of a sample of ``AUDIT`` nodes are compared with brute force, once over all links and once for nodes
+   with few; below ``RECALL`` the search is repeated with more overlap and a wider beam, and after ``TRIES`` every query is
+   compared with all shards of its label, in blocks, which is exact.  The result says the recall that was measured.
+
+A task holds one shard and a block of at most ``SHARD`` queries, and the similarities between them.  It returns a number per
+query and, of the links, only a forest that joins what they join, so a dense group of thousands doesn't become all
+its pairs.
 
 Edge cases: null vectors, zero vectors, those with a null or non-finite component and those with a null label link with
 nothing; vectors of another length than most of their label's link only among themselves; a null vec_id takes part but
-names no component; repeated rows are returned as often as they occur; an empty table gives an empty result.
+names no component; a cosine equal to the limit links; repeated rows are returned as often as they occur; an empty table
+gives an empty result; more columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,22 +38,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scope
 from .components import components
 
-COSINE, SHARD, SAMPLE, CENTRES, OVERLAP, BEAM, DEGREE, ALPHA, RECALL = 0.93, 2048, 4096, 256, 2, 16, 24, 1.2, 0.98
-AUDIT = 200
+COSINE, SHARD, SAMPLE, BRANCH, LEVELS, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 8, 2, 0.2, 16, 24, 1.2
+RECALL, AUDIT, FEW, TRIES = 0.98, 1000, 8, 3
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all rows with their node, the nodes): ``vec_id, node``; ``node, label, v, n`` (n: copies)."""
+    """(all rows with their node, the nodes): ``vec_id, node``; ``node, group, v, n, least`` (n: copies, least: smallest vec_id)."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # -0.0 and 0.0 are equal
     clean = F.transform(v, lambda x: x + F.lit(0.0))
     rows = cut(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.when(F.coalesce(fine, F.lit(False)), clean).alias("v")).withColumn("node", F.when(F.col("v").isNotNull(), F.concat_ws("-", F.lower(F.hex(F.xxhash64("label", "v"))), F.lower(F.hex(F.xxhash64(F.lit(1), "v", "label")))))))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"))
-    return rows.select("vec_id", "node"), nodes.withColumn("group", F.concat_ws("|", "label", F.size("v")))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    return rows.select("vec_id", "node"), nodes.select("node", F.concat_ws("|", "label", F.size("v")).alias("group"), "v", "n", "least")
 
 
 def _unit(v) -> np.ndarray:
@@ -58,8 +63,8 @@ def _unit(v) -> np.ndarray:
 
 
 def _centres(frame: pd.DataFrame, shard: int) -> pd.DataFrame:
-    """k-means of one label's sample, by cosine."""
-    x, k = _unit(frame["v"]), int(min(CENTRES, -(-2 * frame["total"].iloc[0] // shard), len(frame)))
+    """k-means of one shard's sample, by cosine."""
+    x, k = _unit(frame["v"]), int(min(BRANCH, -(-2 * frame["total"].iloc[0] // shard), len(frame)))
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(8):
         near = (x @ c.T).argmax(axis=1)
@@ -67,33 +72,43 @@ def _centres(frame: pd.DataFrame, shard: int) -> pd.DataFrame:
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
-    return pd.DataFrame({"group": frame["group"].iloc[0], "centre": range(k), "c": list(c)})
+    return pd.DataFrame({"group": frame["group"].iloc[0], "shard": frame["shard"].iloc[0], "centres": [list(c)]})
 
 
-def assign(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
-    """``node, group, v, n, centre, home`` for each node and each of its shards."""
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("total"))
-    large = sizes.filter(F.col("total") > shard)
-    few = nodes.join(large, "group").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / SAMPLE)))
-    sample = few.filter("salt = 0").select("group", "v", "total")
-    centres = sample.groupBy("group").applyInPandas(lambda f: _centres(f.head(2 * SAMPLE), shard), "group string, centre int, c array<double>")
-    centres = cut(centres.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres")))
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = []
-            for _, g in f.groupby("group", sort=False):
-                if g["centres"].iloc[0] is None:
-                    parts.append(g.assign(near=[[0]] * len(g)))
-                else:
-                    s = _unit(g["v"]) @ np.stack([np.asarray(c["c"]) for c in g["centres"].iloc[0]]).T
-                    parts.append(g.assign(near=np.argsort(-s, axis=1)[:, :overlap].tolist()))
-            if parts:
-                yield pd.concat(parts)[["node", "group", "v", "n", "near"]]
+PLACED = "node string, group string, shard string, v array<double>, n long, home boolean"
 
-    # At most CENTRES rows of a vector per label that exceeds a shard; joined by label, with the nodes split if skewed.
-    out = nodes.select("node", "group", "v", "n").join(centres, "group", "left").mapInPandas(nearest, "node string, group string, v array<double>, n long, near array<int>")
-    return out.select("node", "group", "v", "n", F.posexplode("near").alias("rank", "centre")).withColumn("home", F.col("rank") == 0).drop("rank")
+
+def assign(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
+    """``node, group, shard, v, n, home`` for each node and each of its shards."""
+    done, rest = None, nodes.select("node", "group", F.lit("").alias("shard"), "v", "n", F.lit(True).alias("home"))
+    for level in range(LEVELS + 1):
+        sizes = rest.groupBy("group", "shard").agg(F.count("*").alias("total")).filter(F.col("total") > shard)
+        sizes = cut(sizes)
+        fine = rest.join(sizes, ["group", "shard"], "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        if sizes.isEmpty():
+            return done
+        rest = rest.join(sizes, ["group", "shard"])
+        if level == LEVELS:
+            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / shard)).cast("string")
+            return done.unionByName(rest.withColumn("shard", F.concat_ws("#", "shard", part)).drop("total"))
+        salt = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("total") / SAMPLE))
+        sample = rest.filter(salt == 0).select("group", "shard", "v", "total")
+        centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>"))
+
+        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for _, g in f.groupby(["group", "shard"], sort=False):
+                    s = _unit(g["v"]) @ np.stack([np.asarray(c) for c in g["centres"].iloc[0]]).T
+                    best = np.argsort(-s, axis=1)[:, :overlap]
+                    top = np.take_along_axis(s, best, axis=1)
+                    i, rank = np.nonzero(np.arccos(np.clip(top, -1, 1)) - np.arccos(np.clip(top[:, :1], -1, 1)) <= CLOSE)
+                    out = g.iloc[i][["node", "group", "shard", "v", "n", "home"]]
+                    yield out.assign(shard=[f"{a}.{b}" for a, b in zip(out["shard"], best[i, rank], strict=True)], home=out["home"].to_numpy() & (rank == 0))
+
+        # At most BRANCH vectors for each shard that is split, joined by shard; adaptive execution splits a large one.
+        rest = cut(rest.drop("total").join(centres, ["group", "shard"]).mapInPandas(nearest, PLACED))
+    raise AssertionError
 
 
 def robust_prune(sims: np.ndarray, i: int, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
@@ -128,130 +143,167 @@ def _build(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": names, "near": [[names[j] for j in sorted(s) if j != i] for i, s in enumerate(near)]})
 
 
-def range_search(x: np.ndarray, near: list[np.ndarray], medoid: int, q: np.ndarray, cosine: float, beam: int) -> np.ndarray:
-    """Nodes met within the range: greedy from the medoid, then through all nodes within the range."""
-    seen = np.zeros(len(x), bool)
-    seen[medoid] = True
-    pool, score, open_ = [medoid], [float(x[medoid] @ q)], [True]
+def _range_search(sims: np.ndarray, heads: np.ndarray, near: np.ndarray, medoid: int, cosine: float, beam: int) -> np.ndarray:
+    """Which nodes each query meets.  sims: queries x nodes; heads, near: where each node's neighbours begin, and these."""
+    seen, fresh = np.zeros(sims.shape, bool), np.zeros(sims.shape, bool)
+    seen[:, medoid] = fresh[:, medoid] = True
+    now = np.arange(len(sims))
+    width = min(beam, sims.shape[1])
+    while len(now):
+        score = np.where(seen[now], sims[now], -2.0)
+        least = -np.partition(-score, width - 1, axis=1)[:, width - 1]
+        go = fresh[now] & (score >= np.minimum(least, cosine)[:, None])
+        some = go.any(axis=1)
+        now, go = now[some], go[some]
+        q, node = np.nonzero(go)
+        q = now[q]
+        fresh[q, node] = False
+        size = heads[node + 1] - heads[node]
+        to = near[np.repeat(heads[node] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        q = np.repeat(q, size)
+        new = ~seen[q, to]
+        seen[q[new], to[new]] = fresh[q[new], to[new]] = True
+    return seen
+
+
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and the smallest name that each reaches through ``near`` (left x right), where they differ."""
+    names, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+    label, i, j = np.arange(len(names)), *np.nonzero(near)
+    i, j = at[: len(left)][i], at[len(left) :][j]
     while True:
-        order = sorted(range(len(pool)), key=lambda k: -score[k])
-        nxt = next((k for n, k in enumerate(order) if open_[k] and (n < beam or score[k] >= cosine - 0.02)), None)
-        if nxt is None:
-            return np.array([p for p, s in zip(pool, score, strict=True) if s >= cosine - 1e-9], int)
-        batch = [k for n, k in enumerate(order) if open_[k] and (k == nxt or score[k] >= cosine - 0.02)]
-        for k in batch:
-            open_[k] = False
-        new = np.unique(np.concatenate([near[pool[k]] for k in batch]))
-        new = new[~seen[new]]
-        seen[new] = True
-        pool += new.tolist()
-        score += (x[new] @ q).tolist()
-        open_ += [True] * len(new)
-        if len(pool) > 4 * beam:  # far nodes that are done or hopeless don't come back
-            top = sorted(range(len(pool)), key=lambda k: -score[k])
-            keep = [k for n, k in enumerate(top) if n < 2 * beam or score[k] >= cosine - 0.02]
-            pool, score, open_ = [pool[k] for k in keep], [score[k] for k in keep], [open_[k] for k in keep]
-
-
-def _search(f: pd.DataFrame, cosine: float, beam: int) -> pd.DataFrame:
-    """Search one part: the queries of the shard, its nodes and their united lists."""
-    inside = f[f["inside"]].drop_duplicates("node")
-    queries = f[f["home"]].drop_duplicates("node")
-    empty = pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": str, "b": str, "links": "int64"})
-    if not len(inside) or not len(queries):
-        return empty
-    x, names = _unit(inside["v"]), inside["node"].to_numpy()
-    at = {n: i for i, n in enumerate(names)}
-    near = [np.array([at[m] for m in (ms if ms is not None else []) if m in at], int) for ms in inside["near"]]
-    copies, medoid = inside["n"].to_numpy(), int((x @ x.mean(axis=0)).argmax())
-    a, b, links = [], [], []
-    root = list(range(len(names)))  # nodes of this part that links have joined
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for name, q in zip(queries["node"], _unit(queries["v"]), strict=True):
-        met = range_search(x, near, medoid, q, cosine, beam)
-        me = at.get(name, -1)
-        met = met[met != me]
-        met = met[x[met] @ q >= cosine]
-        fresh = met
-        if me >= 0:
-            fresh = []
-            for j in met.tolist():
-                p, r = find(me), find(j)
-                if p != r:
-                    root[max(p, r)] = min(p, r)
-                    fresh.append(j)
-        # One row with the number of links, then one for each link that joins something new.
-        a += [name] * (1 + len(fresh))
-        b += [None, *names[list(fresh)]]
-        links += [int(copies[met].sum()), *[0] * len(fresh)]
-    return pd.DataFrame({"a": a, "b": b, "links": links}) if a else empty
-
-
-def search(nodes: DataFrame, cosine: float, overlap: int, beam: int, shard: int = SHARD) -> DataFrame:
-    """``a, b, links``: per node and part a row with b null and the number of vectors linked there, and joining links."""
-    placed = cut(assign(nodes, overlap, shard))
-    parts = placed.groupBy("group", "centre").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = cut(placed.join(parts, ["group", "centre"]).withColumn("part", own))
-    graph = placed.groupBy("group", "centre", "part").applyInPandas(_build, "node string, near array<string>")
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    joined = placed.join(united, "node", "left")
-    # A query goes to every part of its home shard; a node lies in one part of each of its shards.
-    dealt = joined.withColumn("to", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))).withColumn("inside", F.col("to") == F.col("part"))
-    rows = dealt.withColumn("block", F.lit(0)).select("group", "centre", "to", "node", "v", "n", "near", "home", "inside")
-    return rows.groupBy("group", "centre", "to").applyInPandas(lambda f: _search(f, cosine, beam), "a string, b string, links long")
-
-
-def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
-    """The share of the links of a sample of nodes (at most ``queries``) that the search has found."""
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
+FOUND = "kind string, a string, b string, links long"
+
+
+def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
+    """Search one shard for a block of queries.  Rows: ``count`` (links of a), ``link`` (a and b), ``go`` (a is to visit b).
+
+    f: nodes (``near``, ``shards``, ``home``) and queries (``query``), with the ``root`` of what is known to be joined already;
+    links are between roots.  No beam: all nodes are met.
+    """
+    queries, nodes = f[f["query"]], f[~f["query"]]
+    if not len(queries) or not len(nodes):
+        return pd.DataFrame({"kind": [], "a": [], "b": [], "links": []}).astype({"kind": str, "a": str, "b": str, "links": "int64"})
+    here, names, asked = f["shard"].iloc[0], nodes["node"].to_numpy(str), queries["node"].to_numpy(str)
+    x = _unit(nodes["v"])
+    sims = _unit(queries["v"]) @ x.T
+    met = sims >= cosine
+    if beam is not None:
+        at = {n: i for i, n in enumerate(names)}
+        lists = [[at[m] for m in ms if m in at] for ms in nodes["near"]]
+        heads = np.concatenate(([0], np.cumsum([len(m) for m in lists])))
+        met &= _range_search(sims, heads, np.array([m for ms in lists for m in ms], int), int((x @ x.mean(axis=0)).argmax()), cosine, beam)
+    met &= asked[:, None] != names[None, :]
+    home = nodes["home"].to_numpy(bool)
+    a, b = _forest(met, queries["root"].to_numpy(str), nodes["root"].to_numpy(str))
+    out = [pd.DataFrame({"kind": "count", "a": asked, "b": None, "links": met @ (home * nodes["n"].to_numpy())}), pd.DataFrame({"kind": "link", "a": a, "b": b, "links": 0})]
+    if beam is not None:
+        others = sorted({s for ss in nodes["shards"] for s in ss} - {here})
+        lies = np.array([[s in ss for s in others] for ss in map(set, nodes["shards"])], float).reshape(len(names), len(others))
+        q, s = np.nonzero(met @ lies > 0)
+        out.append(pd.DataFrame({"kind": "go", "a": asked[q], "b": np.array(others, object)[s], "links": 0}))
+    return pd.concat(out)
+
+
+def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shard: int = SHARD) -> DataFrame:
+    """Rows of ``FOUND``, of kind ``count`` and ``link``.  No beam: every query is compared with all shards of its group."""
+    with scope():
+        placed = cut(assign(nodes, overlap, shard))
+        key = ["group", "shard"]
+        if beam is None:
+            members = placed.withColumns({"near": F.array().cast("array<string>"), "shards": F.array().cast("array<string>")})
+            asked = placed.filter("home").select(F.col("node").alias("a"), "group").join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
+        else:
+            graph = placed.groupBy(*key).applyInPandas(_build, "node string, near array<string>")
+            united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+            lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap ** levels
+            members = cut(placed.join(united, "node").join(lies, "node"))
+            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"))
+        visits, found = cut(asked), None
+        seen = visits.select("a", "b")
+        rooted = nodes.select("node", F.col("node").alias("root"))
+        while True:
+            blocks = visits.groupBy("group", "b").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks")).withColumnRenamed("b", "shard")
+            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard")).join(nodes.select("node", "v", "n"), "node").join(rooted, "node").join(blocks, key)
+            queries = queries.select("node", "root", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), own.alias("block"), F.lit(True).alias("query"))
+            nodes_here = members.join(blocks, key).join(rooted, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            nodes_here = nodes_here.select("node", "root", *key, "v", "n", "home", "near", "shards", "block", F.lit(False).alias("query"))
+            rows = queries.unionByName(nodes_here).groupBy(*key, "block").applyInPandas(lambda f: _search(f, cosine, beam), FOUND)
+            rows = cut(rows, keep=True)
+            if found is None and beam is not None:  # what is joined by now needs no link any more
+                joined = components(rows.filter("kind = 'link'"), "a", "b")
+                rooted = cut(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+            found = rows if found is None else found.unionByName(rows)
+            if beam is None:
+                break
+            go = rows.filter("kind = 'go'").select("a", "b").distinct().join(nodes.select(F.col("node").alias("a"), "group"), "a").join(seen, ["a", "b"], "left_anti")
+            fresh = cut(go.select("a", "group", "b"))
+            if fresh.isEmpty():
+                break
+            visits, seen = fresh, seen.unionByName(fresh.select("a", "b"))
+        return found.filter("kind != 'go'")
+
+
+def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = AUDIT, few: int = FEW) -> float:
+    """The share of the links of a sample of nodes (at most ``queries``) that the search has found: the lesser of that of all links and that of nodes with at most ``few``."""
     some = nodes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "group", "v").toPandas()
     if not len(some):
         return 1.0
-    x, groups, names = _unit_or_pad(some["v"]), some["group"].to_numpy(), some["node"].to_numpy()
+    groups, names = some["group"].to_numpy(), some["node"].to_numpy()
+    x = {g: _unit(rows["v"]) for g, rows in some.groupby("group")}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             total = np.zeros(len(names), np.int64)
             for g, rows in f.groupby("group"):
-                mine = np.flatnonzero(groups == g)
-                if len(mine):
-                    y = _unit(rows["v"])
-                    hit = x[mine][:, : y.shape[1]] @ y.T >= cosine
+                if g in x:
+                    mine = np.flatnonzero(groups == g)
+                    hit = x[g] @ _unit(rows["v"]).T >= cosine
                     hit &= names[mine][:, None] != rows["node"].to_numpy()[None, :]
                     total[mine] += hit @ rows["n"].to_numpy()
             yield pd.DataFrame({"a": names, "truth": total})
 
     truth = nodes.select("node", "group", "v", "n").mapInPandas(count, "a string, truth long").groupBy("a").agg(F.sum("truth").alias("truth"))
-    got = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    r = truth.join(got, "a", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("g")).first()
-    return 1.0 if not r.t else r.g / r.t
-
-
-def _unit_or_pad(vectors) -> np.ndarray:
-    width = max(map(len, vectors))
-    return np.stack([np.pad(_unit([v])[0], (0, width - len(v))) for v in vectors])
+    got = found.filter("kind = 'count'").groupBy("a").agg(F.sum("links").alias("links"))
+    both = truth.join(got, "a", "left").select("truth", F.least("truth", F.coalesce("links", F.lit(0))).alias("links"))
+    sparse = F.when(F.col("truth") <= few, F.col("truth")), F.when(F.col("truth") <= few, F.col("links"))
+    r = both.agg(F.sum("truth"), F.sum("links"), *map(F.sum, sparse)).first()
+    return min(r[1] / r[0] if r[0] else 1.0, r[3] / r[2] if r[2] else 1.0)
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding, label)."""
+    """``vec_id, n_links, component_id, kept, audited_recall`` for every row of ``vectors`` (vec_id, embedding, label)."""
     rows, nodes = nodes_of(vectors)
     nodes = cut(nodes)
-    overlap, beam = OVERLAP, BEAM
-    for _ in range(3):
-        found = cut(search(nodes, cosine, overlap, beam, shard))
-        if audit(nodes, found, cosine) >= RECALL:
-            break
-        overlap, beam = overlap * 2, beam * 2
-    counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = components(found.filter("b is not null"), "a", "b")
-    least = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"))
-    named = nodes.select("node", "n").join(counts, "node", "left").join(roots, "node", "left").join(least, "node").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.join(cut(named), "node", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    with scope():
+        overlap, beam = OVERLAP, BEAM
+        for attempt in range(TRIES + 1):
+            found = search(nodes, cosine, overlap, beam if attempt < TRIES else None, shard)
+            recall = audit(nodes, found, cosine)
+            if recall >= RECALL:
+                break
+            overlap, beam = overlap + 1, beam * 2
+        counts = found.filter("kind = 'count'").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        # A component's root carries its smallest vec_id.
+        name = F.struct(F.col("least").isNull().alias("none"), "least", "node")
+        end = lambda side: nodes.select(F.col("node").alias(side), name.alias(f"{side}_node"))
+        links = found.filter("kind = 'link'").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+        joined = components(links, "a_node", "b_node").select("node.node", F.col("root.least").alias("component_id"))
+        named = nodes.select("node", "n", "least").join(counts, "node", "left").join(joined, "node", "left")
+        named = cut(named.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), keep=True)
+    out = rows.join(named, "node", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(float(recall))})
