@@ -1,27 +1,31 @@
 """Toxic spans by a linear-chain conditional random field.
 
 The field has two states per token, clean and toxic.  A token's score for "toxic" is the sum of weights of the word
-itself, of its stem (the first ``STEM`` letters), of the words before and after it, and of a bias; transitions have
-weights of their own.  Scoring runs the
-forward-backward recursions over every whole text; the marginals give the document's score, the probability that
-its most suspicious tokens are toxic after calibration, and the offending spans.
+itself, of its stems (the first letters, as many as ``STEMS`` say), of the words before and after it, and of a bias;
+transitions have weights of their own.  Scoring runs the forward-backward recursions over every whole text; the marginals
+give the document's score, the probability that its most suspicious tokens are toxic after calibration, and the offending
+spans, as offsets in the text as it is: tokens are found there and lower-cased one by one.
 
 Training needs labelled tokens, while labels belong to documents.  In labelled toxic documents, tokens are toxic whose
-word or stem occurs in far more toxic than clean documents (log odds of the document counts of at least ``MARGIN``, in at
-least ``SUPPORT`` toxic documents and ``SHARE`` of them; equal texts count once); all other tokens are clean.  The field is then fitted by gradient ascent on its likelihood.
+word or stem belongs to toxic documents: log odds of the document counts of at least ``MARGIN``, in at least ``SUPPORT``
+toxic documents, and so many of those with it are toxic as chance would give only with probability ``CHANCE``; no share of
+all toxic documents is asked for, so a small language's words count too.  Equal texts count once, and so do toxic texts
+that share most of their words.  All other tokens are clean.  The field is then fitted by gradient ascent on its likelihood.
 The classifier is fitted on a bounded sample: at most ``SAMPLE`` toxic and ``SAMPLE`` clean documents, the first ones in
 order of a hash of their ids, with at most ``SAMPLE_CHARS`` characters each (longer ones aren't chosen).  Its weights,
 at most ``FEATURES`` words and stems, are all that travels to the executors.
 
 Edge cases: a null or empty text has no tokens and gets the lowest score; labels repeated for a document count once, the
-higher one wins; null labels are ignored; without labelled documents of both classes every score is 0; repeated rows are
-scored alike; an empty table gives an empty result.
+higher one wins; null labels are ignored; without labelled documents of both classes every score is 0; texts of any length
+are scored whole; repeated rows are scored alike; an empty table gives an empty result; columns of the input named ``score``
+or ``spans`` are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,17 +37,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"\w+")
-SAMPLE, SAMPLE_CHARS, FEATURES, STEM, SUPPORT, SHARE, MARGIN = 1000, 20_000, 8_000, 4, 4, 0.03, 3.0
+SAMPLE, SAMPLE_CHARS, FEATURES, SUPPORT, CHANCE, MARGIN = 1000, 20_000, 8_000, 3, 3e-5, 3.0
+STEMS = (4, 6)
+KINDS = len(STEMS) + 3  # rows of weights: word, stems, word before, word after
 THRESHOLD, SPAN = 0.3, 0.5
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 
+def tokens_of(text: str) -> list[str]:
+    """The words of the text as it is, each in lower case."""
+    return list(map(str.lower, TOKEN.findall(text)))
+
+
+def _features(tokens: list[str]) -> set[str]:
+    return {*tokens, *("^" + t[:k] for k in STEMS for t in tokens if len(t) >= k)}
+
+
+def _chance(a: int, n: int, share: float) -> float:
+    """The probability of at least a of n where each is one with probability ``share``."""
+    return sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a, n + 1)) if n < 200 else 0.0
+
+
+def _families(tokens: list[list[str]], hashes: int = 16) -> list[int]:
+    """One index of each group of texts that share most of their words, by the least hashes of these."""
+    seeds, seen, out = np.random.default_rng(5).integers(1, 1 << 62, (hashes, 1)) | 1, set(), []
+    for i, words in enumerate(tokens):
+        x = np.array([zlib.crc32(w.encode()) for w in set(words)], np.int64)
+        least = list(enumerate((x * seeds).min(axis=1).tolist()))
+        if sum(k in seen for k in least) <= hashes // 3:
+            out.append(i)
+        seen.update(least)
+    return out
+
+
 @dataclass
 class Field:
-    """Weights: ``words`` numbers the known words and stems (marked by ``^``) from 1 on; rows of ``emit``: word, stem, word before, word after."""
+    """Weights: ``words`` numbers the known words and stems (marked by ``^``) from 1 on; rows of ``emit`` are the ``KINDS``."""
 
     words: dict[str, int] = field(default_factory=dict)
-    emit: np.ndarray = field(default_factory=lambda: np.zeros((4, 1)))
+    emit: np.ndarray = field(default_factory=lambda: np.zeros((KINDS, 1)))
     bias: float = -8.0
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     slope: float = 1.0
@@ -51,20 +83,21 @@ class Field:
     trained: bool = False
 
     def ids(self, text: str) -> np.ndarray:
-        """Two rows: the numbers of the words and of their stems, 0 for unknown ones."""
-        tokens = TOKEN.findall(text.lower())
+        """Rows: the numbers of the words and of their stems, 0 for unknown ones."""
+        tokens = tokens_of(text)
         get, n = self.words.get, len(tokens)
-        return np.stack([np.fromiter((get(t, 0) for t in tokens), np.int32, n), np.fromiter((get("^" + t[:STEM], 0) for t in tokens), np.int32, n)])
+        return np.stack([np.fromiter((get(t, 0) for t in tokens), np.int32, n), *[np.fromiter((get("^" + t[:k], 0) if len(t) >= k else 0 for t in tokens), np.int32, n) for k in STEMS]])
 
     def marginals(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The probability of "toxic" of each token."""
         return [p for p, _ in self._run(docs)] if docs else []
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        word, stem = ids
-        e = self.emit[0, word] + self.emit[1, stem] + self.bias
-        e[1:] += self.emit[2, word[:-1]]
-        e[:-1] += self.emit[3, word[1:]]
+        e = np.full(ids.shape[1], float(self.bias))
+        for weights, row in zip(self.emit, ids, strict=False):
+            e += weights[row]
+        e[1:] += self.emit[-2, ids[0, :-1]]
+        e[:-1] += self.emit[-1, ids[0, 1:]]
         return e
 
     def _run(self, docs: list[np.ndarray], pairs: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
@@ -123,31 +156,33 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
     """Fit a field to labelled documents."""
     first = dict(zip(texts, toxic, strict=True))  # equal texts count once
     texts, toxic = list(first), list(first.values())
-    tokens = [TOKEN.findall(t.lower()) for t in texts]
+    tokens = list(map(tokens_of, texts))
     keep = [i for i, t in enumerate(tokens) if t]
     tokens, toxic = [tokens[i] for i in keep], [toxic[i] for i in keep]
-    seen = [Counter(), Counter()]
-    for words, y in zip(tokens, toxic, strict=True):
-        seen[y].update({*words, *("^" + w[:STEM] for w in words)})
-    n = [toxic.count(0), toxic.count(1)]
+    bad_texts = [w for w, y in zip(tokens, toxic, strict=True) if y]
+    alone = [bad_texts[i] for i in _families(bad_texts)]
+    clean = [w for w, y in zip(tokens, toxic, strict=True) if not y]
+    n = [len(clean), len(alone)]
     if not all(n):
         return Field()
+    seen = [Counter(f for words in some for f in _features(words)) for some in (clean, alone)]
     logit = lambda c, of: math.log((c + 0.5) / (of - c + 0.5))
-    bad = {w for w, c in seen[1].items() if c >= max(SUPPORT, SHARE * n[1]) and logit(c, n[1]) - logit(seen[0][w], n[0]) >= MARGIN}
+    likely = [w for w, c in seen[1].items() if c >= SUPPORT and logit(c, n[1]) - logit(seen[0][w], n[0]) >= MARGIN]
+    bad = {w for w in likely if _chance(seen[1][w], seen[1][w] + seen[0][w], n[1] / sum(n)) <= CHANCE}
     common = [w for w, c in (seen[0] + seen[1]).most_common(features) if c >= 10 and w not in bad]
     model = Field(words={w: i + 1 for i, w in enumerate([*sorted(bad), *common][:features])})
     size = len(model.words) + 1
-    ids = [np.array([[model.words.get(w, 0) for w in words], [model.words.get("^" + w[:STEM], 0) for w in words]], np.int32) for words in tokens]
-    gold = [np.array([y and (w in bad or "^" + w[:STEM] in bad) for w in words], np.float64) for words, y in zip(tokens, toxic, strict=True)]
-    model.emit, total = np.zeros((4, size)), sum(map(len, gold))
+    ids = [np.array([[model.words.get(w, 0) for w in words], *[[model.words.get("^" + w[:k], 0) if len(w) >= k else 0 for w in words] for k in STEMS]], np.int32) for words in tokens]
+    gold = [np.array([y and not bad.isdisjoint(_features([w])) for w in words], np.float64) for words, y in zip(tokens, toxic, strict=True)]
+    model.emit, total = np.zeros((KINDS, size)), sum(map(len, gold))
     want = np.zeros((2, 2))
     for g in gold:
         s = g.astype(int)
         np.add.at(want, (s[:-1], s[1:]), 1)
     model.bias = math.log((sum(g.sum() for g in gold) + 1) / total)
-    flat = [np.concatenate(x) for x in zip(*[(w, s, np.concatenate(([0], w[:-1])), np.concatenate((w[1:], [0]))) for w, s in ids], strict=True)]
+    flat = [np.concatenate(x) for x in zip(*[(*w, np.concatenate(([0], w[0, :-1])), np.concatenate((w[0, 1:], [0]))) for w in ids], strict=True)]
     truth = np.concatenate(gold)
-    square = [np.full((4, size), 1e-8), np.full((2, 2), 1e-8), 1e-8]
+    square = [np.full((KINDS, size), 1e-8), np.full((2, 2), 1e-8), 1e-8]
     for _ in range(rounds):
         got = model._run(ids, pairs=True)
         error = truth - np.concatenate([p for p, _ in got])
