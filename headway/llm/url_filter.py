@@ -3,51 +3,55 @@
 A rule is a host and a path prefix (``example.net/en/``) with a verdict.  It fits its host and every subdomain if the
 URL's path starts with the rule's; the longest rule that fits wins (the longer host among equally long ones).
 
-The candidates of a URL are its host's endings times the beginnings of its path, of the lengths that occur among
-the rules: a fixed, small number.  All candidates over the corpus are the key universe.  Per verdict, a cascade of
-Bloom filters gives exact membership in that universe: level 0 encodes the listed keys; level 1 those keys of the
-universe that pass level 0 though they aren't listed; level 2 the listed keys that pass level 1; and so on until a
-level has no false positives.  A key belongs to the class of the first level that rejects it, so rows are judged by
-hashing alone: no join, no shuffle, and no rule leaves the filters.  Building reads the URLs once per level, tests
-before it makes keys distinct (few pass), and brings only bits to the driver, at most ``MAX_BITS`` a level; a list
-that needs more is answered by an equi-join on the candidates instead.
+The candidates of a URL are its host's endings times the beginnings of its path, of the shapes (labels, characters) that
+occur among the rules.  All candidates over the corpus are the key universe.  Per verdict, a cascade of Bloom filters
+gives exact membership in that universe: level 0 encodes the listed keys; level 1 those keys of the universe that pass
+level 0 though they aren't listed; level 2 the listed keys that pass level 1; and so on until a level has no false
+positives.  A key belongs to the class of the first level that rejects it, so rows are judged by hashing alone: no join,
+no shuffle, and no rule leaves the filters.  Building reads the URLs once per level and tests before it makes keys
+distinct (few pass).
+
+A filter is a binary literal of the plan with a byte per position, so that a slice and a comparison test it.  Rules are
+dealt by hash to parts whose filters hold at most ``MAX_BYTES``, whatever the length of the list; each part has its own
+cascades and its own pass over the table, which carries the best rule found so far.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and fits no rule; the default verdict is
-``allow``; a key listed under both verdicts blocks; null rules are ignored; no rules allow all; columns of the input
+``allow``; a key listed under both verdicts blocks; null rules and other verdicts are ignored; no rules allow all; URLs of
+any length are judged whole; repeated rows are judged alike; an empty table gives an empty result; columns of the input
 with the name of an added one are replaced.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import ascii_lower, cut
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-BITS_PER_KEY, HASHES, MAX_BITS, MAX_LEVELS = 16, 6, 1 << 20, 64
+BITS_PER_KEY, HASHES, MAX_BYTES, MAX_LEVELS = 16, 6, 1 << 25, 64
 
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: its bits in words of 64, and its number in the cascade, which seeds the hashes."""
+    """A Bloom filter: a byte for each position, and its number in the cascade, which seeds the hashes."""
 
     number: int
-    words: tuple[int, ...]
+    bits: bytes
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        bits = F.lit(list(self.words))
-        yes = F.lit(True)
-        for at in _positions(key, self.number, len(self.words) * 64, self.hashes):
-            yes = yes & (F.call_function("shiftright", F.get(bits, (at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        yes, bits = F.lit(True), F.lit(bytearray(self.bits))
+        for at in _positions(key, self.number, len(self.bits), self.hashes):
+            yes = yes & (F.substring(bits, at + 1, F.lit(1)) == F.lit(bytearray(b"\1")))
         return yes
 
 
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)).cast("int") for i in range(hashes)]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,14 +62,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Array of (key, length, host's length) for each (labels of the host, characters of the path) in ``shapes``."""
-    labels = F.size(F.split(host, r"\."))
-    out = []
-    for n, m in shapes:
-        ending, start = F.substring_index(host, ".", -n), F.substring(path, 1, m)
-        fits = (host != "") & (labels >= n) & (F.length(path) >= m)
-        out.append(F.when(fits, F.struct(F.concat(ending, start).alias("key"), (F.length(ending) + F.lit(m)).alias("size"), F.length(ending).alias("host_size"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    """Array of (key, size, host's size) for each shape (labels of the host, characters of the path) that fits."""
+    known = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>")
+    fitting = F.filter(known, lambda s: (host != "") & (F.size(F.split(host, r"\.")) >= s["n"]) & (F.length(path) >= s["m"]))
+
+    def one(s: Column) -> Column:
+        ending = F.call_function("substring_index", host, F.lit("."), -s["n"])
+        return F.struct(F.concat(ending, F.substring(path, F.lit(1), s["m"])).alias("key"), (F.length(ending) + s["m"]).alias("size"), F.length(ending).alias("host_size"))
+
+    return F.transform(fitting, one)
 
 
 def bloom(keys: DataFrame, number: int, bits_per_key: int, hashes: int) -> Level | None:
@@ -74,8 +79,11 @@ def bloom(keys: DataFrame, number: int, bits_per_key: int, hashes: int) -> Level
         return None
     bits = 64 * -(-n * bits_per_key // 64)
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("at"))
-    words = dict(at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("v")).collect())
-    return Level(number, tuple(words.get(i, 0) for i in range(bits // 64)), hashes)
+    words = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("v"))
+    filled = bytearray(bits)
+    for w, v in words.toLocalIterator():
+        filled[64 * w : 64 * w + 64] = bytes(v >> i & 1 for i in range(64))
+    return Level(number, bytes(filled), hashes)
 
 
 def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> list[Level]:
@@ -84,13 +92,13 @@ def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_K
     if not (level := bloom(inside, 0, bits_per_key, hashes)):
         return []
     levels = [level]
-    outside = checkpoint(universe.filter(level.holds(F.col("key"))).distinct().join(inside, "key", "left_anti"))
+    outside = cut(universe.filter(level.holds(F.col("key"))).distinct().join(inside, "key", "left_anti"))
     here, there = outside, inside
     while level := bloom(here, len(levels), bits_per_key, hashes):
         levels.append(level)
         if len(levels) > MAX_LEVELS:
             raise ValueError("the cascade doesn't end: more bits a key are needed")
-        here, there = checkpoint(there.filter(level.holds(F.col("key")))), here
+        here, there = cut(there.filter(level.holds(F.col("key")))), here
     return levels
 
 
@@ -106,31 +114,29 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in rules])))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``.  ``rules``: ``key`` (host and path prefix), ``verdict`` (allow or block)."""
     host, path = split_url(F.col(url))
     rows = pages.withColumns({"host": host, "path": path})
     rules = rules.filter("key is not null and verdict in ('allow', 'block')").groupBy("key").agg(F.max("verdict").alias("verdict"))
     rule_host = F.regexp_extract("key", r"^[^/]*", 0)
-    found = rules.select(F.size(F.split(rule_host, r"\.")).alias("n"), (F.length("key") - F.length(rule_host)).alias("m")).distinct().limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError("the rules have more than 1000 shapes (labels of the host, length of the path)")
+    # As many as there are labels and lengths of paths, however many rules.
+    found = rules.select(F.size(F.split(rule_host, r"\.")).alias("n"), (F.length("key") - F.length(rule_host)).alias("m")).distinct().collect()
     shapes = sorted((r.n, r.m) for r in found)
     if not shapes:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    rows = rows.withColumn("__keys", candidates(F.col("host"), F.col("path"), shapes))
-    if rules.count() * bits_per_key > MAX_BITS:
-        return _by_join(rows, rules)
-    universe = rows.select(F.explode("__keys").alias("k")).select("k.key")
-    block, allow = (build(rules.filter(F.col("verdict") == v).select("key"), universe, bits_per_key, hashes) for v in ("block", "allow"))
-    hits = F.filter(F.transform("__keys", lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), listed(k["key"], block).alias("block"), listed(k["key"], allow).alias("allow"))), lambda k: k["block"] | k["allow"])
-    best = F.array_max("__hits")
-    return rows.withColumn("__hits", hits).withColumns({"rule": best["key"], "verdict": F.when(best["block"], "block").otherwise("allow")}).drop("__keys", "__hits")
-
-
-def _by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """For lists too long for filters on the driver: one shuffle of the distinct (host, path) pairs' candidates."""
-    pairs = rows.select("host", "path", "__keys").dropDuplicates(["host", "path"])
-    hits = pairs.select("host", "path", F.explode("__keys").alias("k")).join(rules, F.col("k.key") == F.col("key"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct("k.size", "k.host_size")).alias("__best"))
-    return rows.drop("__keys").join(best, ["host", "path"], "left").withColumns({"rule": F.col("__best.key"), "verdict": F.coalesce("__best.verdict", F.lit("allow"))}).drop("__best")
+    parts = -(-rules.count() * bits_per_key // max_bytes)
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    best = F.lit(None).cast("struct<size:int,host_size:int,key:string,block:boolean,allow:boolean>")
+    for part in range(parts):
+        mine = rules.filter(part_of(F.col("key")) == part) if parts > 1 else rules
+        keys = candidates(F.col("host"), F.col("path"), shapes)
+        keys = F.filter(keys, lambda k, n=part: part_of(k["key"]) == n) if parts > 1 else keys
+        universe = rows.select(F.explode(keys).alias("k")).select("k.key")
+        block, allow = (build(mine.filter(F.col("verdict") == v).select("key"), universe, bits_per_key, hashes) for v in ("block", "allow"))
+        judged = F.transform(keys, lambda k, b=block, a=allow: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), listed(k["key"], b).alias("block"), listed(k["key"], a).alias("allow")))
+        hit = F.array_max(F.filter(judged, lambda k: k["block"] | k["allow"]))
+        rows = rows.withColumn("__best", F.greatest(best, hit) if part else hit)
+        rows = cut(rows) if part + 1 < parts else rows
+        best = F.col("__best")
+    return rows.withColumns({"rule": best["key"], "verdict": F.when(best["block"], "block").otherwise("allow")}).drop("__best")
