@@ -10,8 +10,8 @@ dialogue's segments in order of ``position`` gives its text.
 
 Edge cases: turns are ordered by number (null last), then speaker, then text; repeated rows are turns of their own; a
 null role is the speaker ``unknown``; a null text is empty; a null conv_id is a conversation of its own; a conversation
-with system turns only has no perspective and no rows; marks in a text or name are broken up (``<|`` becomes ``< |``), so
-they can't forge a turn; an empty table gives an empty result; more columns are dropped.
+with system turns only has no perspective and no rows; marks in a text or name are broken up (``<|`` becomes ``< |``, in
+names ``|>`` becomes ``| >`` and a line feed a blank too), so they can't forge a turn; texts of any length stay whole; an empty table gives an empty result; more columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ def _safe(text: Column, default: str) -> Column:
     return F.replace(F.coalesce(text, F.lit(default)), F.lit("<|"), F.lit("< |"))
 
 
+def _name(role: Column) -> Column:
+    return F.replace(F.replace(_safe(role, "unknown"), F.lit("|>"), F.lit("| >")), F.lit("\n"), F.lit(" "))
+
+
 def render(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``conv_id, perspective, position, turn, speaker, segment, start, end, mask_start``.
 
@@ -33,9 +37,9 @@ def render(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ``mask_start`` to ``end`` (null: not at all).
     """
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null"))
-    turns = conversations.select("conv_id", "turn", _safe(F.col("role"), "unknown").alias("speaker"), _safe(F.col("text"), "").alias("body"), key.alias("k"), F.coalesce(F.floor(F.col("turn") / bucket), F.lit((1 << 62))).alias("b"))
-    parties = turns.filter(F.col("speaker") != SYSTEM).groupBy("k").agg(F.array_sort(F.collect_set("speaker")).alias("parties"))
-    seen = turns.join(parties, "k").withColumn("perspective", F.explode("parties")).drop("parties")
+    turns = conversations.select("conv_id", "turn", _name(F.col("role")).alias("speaker"), _safe(F.col("text"), "").alias("body"), key.alias("k"), F.coalesce(F.floor(F.col("turn") / bucket), F.lit((1 << 62))).alias("b"))
+    parties = turns.filter(F.col("speaker") != SYSTEM).select("k", F.col("speaker").alias("perspective")).distinct()
+    seen = turns.join(parties, "k")
     own = F.col("speaker") == F.col("perspective")
     head = F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
     cut = seen.select("k", "b", "conv_id", "perspective", "turn", "speaker", "body", head.alias("head"), own.alias("own")).withColumn("segment", F.concat("head", "body", F.lit("<|end|>\n")))

@@ -1,11 +1,11 @@
 """Packing documents into sequences of several lengths.
 
 A document's tokens are routed by their number: whole windows of the longest tier are cut off first; what remains goes
-to the tier whose window it fills at least by half.  Each tier is then packed, from the longest down: a piece
-opens a window and the gap is filled with pieces of shorter tiers, the last of them cut to fit.  Where no shorter
-piece is left, the piece is cut at half the window, which makes a sequence of the next tier, and its rest is routed
-anew.  The shortest tier is filled in order.  So every sequence is full; all lengths are powers of two and none is padded.
-What is left at the end of a task, less than the shortest window, is cut into powers of two.
+to the tier whose window it fills at least by half.  Each tier is then packed, from the longest down: its longest piece
+opens a window, and the gap is filled from the shorter tiers, each time with the longest piece that fits; only where none
+fits is the next longer one cut.  Where the shorter tiers hold too little, the piece is cut at half the window, which
+makes a sequence of the next tier, and its rest is routed anew.  So every sequence is full; all lengths are powers of two
+and none is padded.  What is left at the end of a task, less than the shortest window, is cut into powers of two.
 
 Sequences are dealt to step groups of about ``step_tokens`` tokens, the longest first and always to the group with
 the fewest tokens, so groups of one block differ by less than one sequence.
@@ -18,8 +18,9 @@ Tokens come from the tokenizers library.  Its pre-tokenizer drops white space, s
 blank-separated chunks; a Python worker keeps the ids of chunks that it has seen (at most ``MEMO`` of them) and has the library
 encode the others, many at once.
 
-Edge cases: a null or empty text is its end token alone; repeated rows are packed as often as they occur; an empty
-table gives an empty result.
+Edge cases: a null or empty text is its end token alone; very long texts are encoded whole and cut into many windows; among
+pieces of equal length the first to come is taken first; repeated rows are packed as often as they occur; an empty table
+gives an empty result; more columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,11 +85,17 @@ def encoder(path: str) -> Encoder:
 
 
 class Packer:
-    """Packs documents block by block.  A piece is (document, start, its ids as bytes)."""
+    """Packs documents block by block.  A piece is (document, start, its ids as bytes).
+
+    Pieces shorter than the longest window wait by length; ``waiting`` has a bit for each length that is there.
+    """
 
     def __init__(self, first: int, tiers: tuple[int, ...], step_tokens: int):
         self.tiers, self.step_tokens, self.next, self.group = tiers, step_tokens, first, first
-        self.pools: dict[int, deque] = {w: deque() for w in tiers}
+        self.pieces: list[deque] = [deque() for _ in range(tiers[0])]
+        self.waiting = 0
+        self.have = dict.fromkeys(tiers, 0)  # tokens that wait in each tier
+        self.tier = [next((w for w in tiers if n >= w // 2), tiers[-1]) for n in range(tiers[0])]
         self.done: list[tuple[int, list]] = []  # (window, pieces)
         self.tokens = 0
 
@@ -97,57 +104,65 @@ class Packer:
         for at in range(0, whole * longest, longest):
             self.done.append((longest, [(doc, start + at, ids[4 * at : 4 * (at + longest)])]))
         if rest := ids[4 * whole * longest :]:
-            tier = next((w for w in self.tiers if len(rest) // 4 >= w // 2), self.tiers[-1])
-            self.pools[tier].append((doc, start + whole * longest, rest))
+            n = len(rest) // 4
+            self.pieces[n].append((doc, start + whole * longest, rest))
+            self.waiting |= 1 << n
+            self.have[self.tier[n]] += n
+
+    def take(self, n: int) -> tuple:
+        """The first piece of that length."""
+        found = self.pieces[n]
+        piece = found.popleft()
+        if not found:
+            self.waiting ^= 1 << n
+        self.have[self.tier[n]] -= n
+        return piece
 
     def add(self, doc: tuple, ids: bytes) -> None:
         self.tokens += len(ids) // 4
         self.route(doc, 0, ids)
 
-    def fill(self, pieces: list, gap: int, tiers: tuple[int, ...]) -> int:
-        """Append pieces of the given tiers, longest first, while the gap (in tokens) and they last; returns what remains."""
-        while gap and (w := next((w for w in tiers if self.pools[w]), 0)):
-            doc, start, ids = self.pools[w].popleft()
-            pieces.append((doc, start, ids[: 4 * gap]))
-            if rest := ids[4 * gap :]:
-                self.route(doc, start + gap, rest)
-            gap -= len(pieces[-1][2]) // 4
-        return gap
+    def fill(self, pieces: list, gap: int, below: int) -> None:
+        """Fill the gap (in tokens) with pieces shorter than ``below``, of which there is enough: the longest that fits, else a part of the next longer one."""
+        while gap:
+            n = (self.waiting & (2 << min(gap, below - 1)) - 1).bit_length() - 1
+            if n > 0:
+                pieces.append(self.take(n))
+                gap -= n
+            else:
+                longer = self.waiting >> gap + 1
+                doc, start, ids = self.take(gap + (longer & -longer).bit_length())
+                pieces.append((doc, start, ids[: 4 * gap]))
+                self.route(doc, start + gap, ids[4 * gap :])
+                gap = 0
 
     def pack(self, last: bool) -> Iterator[tuple]:
         """Close what can be filled, or everything, and yield the rows."""
+        least = self.tiers[-1]
         for k, window in enumerate(self.tiers[:-1]):
-            while self.pools[window]:
-                doc, start, ids = self.pools[window].popleft()
-                gap = window - len(ids) // 4
-                if sum(len(p[2]) for w in self.tiers[k + 1 :] for p in self._few(w, gap)) // 4 >= gap:
+            half = window // 2
+            while n := max((self.waiting & (1 << window) - 1).bit_length() - 1, 0):
+                if n < half:
+                    break
+                doc, start, ids = self.take(n)
+                if sum(self.have[w] for w in self.tiers[k + 1 :]) >= window - n:
                     pieces = [(doc, start, ids)]
-                    self.fill(pieces, gap, self.tiers[k + 1 :])
+                    self.fill(pieces, window - n, half)
                     self.done.append((window, pieces))
                 else:
-                    half = window // 2
                     self.done.append((half, [(doc, start, ids[: 4 * half])]))
-                    self.route(doc, start + half, ids[4 * half :])
-        least, pool = self.tiers[-1], self.pools[self.tiers[-1]]
-        left = sum(len(p[2]) for p in pool) // 4
+                    if rest := ids[4 * half :]:
+                        self.route(doc, start + half, rest)
+        left = sum(self.have.values())
         while left >= least or last and left:
             size = least if left >= least else 1 << left.bit_length() - 1
             pieces: list = []
-            self.fill(pieces, size, (least,))
+            self.fill(pieces, size, least)
             self.done.append((size, pieces))
             left -= size
         yield from self.rows()
         self.tokens = left
 
-    def _few(self, window: int, gap: int) -> Iterator[tuple]:
-        """Pieces of a tier until they fill the gap."""
-        have = 0
-        for p in self.pools[window]:
-            if have >= gap:
-                return
-            have += len(p[2]) // 4
-            yield p
-
     def rows(self) -> Iterator[tuple]:
         self.done.sort(key=lambda x: -x[0])
         groups = max(1, round(sum(w for w, _ in self.done) / self.step_tokens))

@@ -91,7 +91,7 @@ from (select p.*, (select max_by(struct_pack(rule := r.rule, verdict := r.verdic
 
 OP7_SQL = """
 with t as (
-  select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as speaker, replace(coalesce(text, ''), '<|', '< |') as body from conversations),
+  select conv_id, turn, replace(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), chr(10), ' ') as speaker, replace(coalesce(text, ''), '<|', '< |') as body from conversations),
 p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
 r as (
   select t.*, p.perspective,
