@@ -26,3 +26,8 @@ def clamp_delay(minutes: Column) -> Column:
 
 def band(minutes: Column) -> Column:
     return F.when(minutes <= 0, "on_time").when(minutes <= 5, "minor").otherwise("major")
+
+
+def coordinates_text(lat: Column, lon: Column) -> Column:
+    """Both to five decimals; null if one is absent."""
+    return F.concat(F.format_string("%.5f", lat), F.lit(", "), F.format_string("%.5f", lon))

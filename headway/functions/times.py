@@ -29,6 +29,13 @@ def parse_iso(text: Column, as_of: Column) -> Column:
     return F.coalesce(text.try_cast("timestamp_ntz"), as_of.cast("timestamp_ntz"))
 
 
+def offset_text(text: Column) -> Column:
+    """The zone at the end of an ISO text as ``+hh:mm``; empty where there is none."""
+    found = F.regexp_extract(text, r"(?:[T ]\d{2}:?\d{2}.*?)(Z|[+-]\d{2}:?\d{2})$", 1)
+    zone = F.when(found == "Z", F.lit("+00:00")).otherwise(F.regexp_replace(found, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
+    return F.coalesce(zone, F.lit(""))
+
+
 def day_of_week(ts: Column) -> Column:
     """0 = Monday."""
     return F.weekday(ts)

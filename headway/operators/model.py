@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headway.operators.baseline import regression_metrics
 from headway.operators.clean import FEATURES
 
-MAX_LABELS = 1_000_000
-
-
 def encoder(train: DataFrame, name: str = "route_short_name") -> DataFrame:
-    """``name, route_encoded``: sorted distinct labels from 0.  A table of routes; its one window is over those alone."""
-    labels = train.select(name).na.drop().distinct()
-    if (n := labels.limit(MAX_LABELS + 1).count()) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels, {n} at least")
-    labels = labels.agg(F.array_sort(F.collect_set(name)).alias("all"))
-    return labels.select(F.posexplode("all").alias("route_encoded", name)).select(name, F.col("route_encoded").cast("double"))
+    """``name, route_encoded``: sorted distinct labels from 0.
+
+    Labels are numbered within those of equal first letters and shifted by the number of labels before these.
+    """
+    labels = train.select(name).na.drop().distinct().withColumn("__first", F.substring(name, 1, 4))
+    counts = labels.groupBy("__first").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("__first").orderBy(name)) - 1
+    return labels.withColumn("__at", inside).join(starts, "__first").select(name, (F.col("start") + F.col("__at")).cast("double").alias("route_encoded"))
 
 
 def encode_route(df: DataFrame, codes: DataFrame, strict: bool = True) -> DataFrame:

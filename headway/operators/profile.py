@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -18,15 +18,43 @@ def info(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("non_null"), F.lit(t).alias("type")) for c, t in df.dtypes])))
 
 
+def quartiles(df: DataFrame, names: list[str], buckets: int = 256) -> DataFrame:
+    """``column, q25, q50, q75``, exact and interpolated.
+
+    Different values are counted, dealt to about equal buckets of the order by a sketch, and ranked within these; a
+    bucket's start is the sum of the buckets before.  So no task ranks all values of a column.
+    """
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in names]))).filter("value is not null")
+    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+    bounds = counts.groupBy("column").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("bounds"))
+    dealt = counts.join(F.broadcast(bounds), "column").withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
+    column = Window.partitionBy("column")
+    sums = dealt.groupBy("column", "bucket").agg(F.sum("n").alias("n"))
+    starts = sums.select("column", "bucket", (F.sum("n").over(column.orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(column).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("column", "bucket").orderBy("value"))
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(starts), ["column", "bucket"]).withColumn("end", F.col("start") + F.col("upto"))
+
+    def quartile(q: float) -> Column:
+        at = (F.col("total") - 1) * q
+        value = lambda rank: F.max(F.when((rank < F.col("end")) & (rank >= F.col("end") - F.col("n")), F.col("value")))
+        low, high, rest = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        return F.when(rest == 0, low).otherwise(low * (1 - rest) + high * rest).alias(f"q{q * 100:.0f}")
+
+    return ranked.groupBy("column").agg(*map(quartile, (0.25, 0.5, 0.75)))
+
+
 def describe_numeric(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Count, mean, deviation, least, quartiles and most of each numeric column; approximate: quartiles by a sketch."""
-    quartile = (lambda c, q: F.percentile_approx(c, q, 10_000)) if approximate else (lambda c, q: F.percentile(c, F.lit(q)))
+    """Count, mean, deviation, least, quartiles and most of each numeric column; approximate: quartiles by a sketch, in the same pass."""
     names = [c for c, t in df.dtypes if t in NUMERIC]
+    sketch = lambda c: [F.percentile_approx(c, q, 10_000).cast("double").alias(f"q{q * 100:.0f}") for q in (0.25, 0.5, 0.75)] if approximate else []
     one = df.agg(*[
-        F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *[quartile(c, q).cast("double").alias(f"q{q * 100:.0f}") for q in (0.25, 0.5, 0.75)], F.max(c).cast("double").alias("max")).alias(c)
+        F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *sketch(c), F.max(c).cast("double").alias("max")).alias(c)
         for c in names
     ])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in names]))).select("column", "s.*")
+    out = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in names]))).select("column", "s.*")
+    if not approximate:
+        out = out.join(F.broadcast(quartiles(df, names)), "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def describe_text(df: DataFrame) -> DataFrame:

@@ -15,8 +15,21 @@ def first_by(value: str | Column, *order: str) -> Column:
 
 
 def order_stops(visits: DataFrame, key: str = "route_key") -> DataFrame:
-    """``visit_no`` from 1 within a key, by sequence, time text, stop and trip."""
-    return visits.withColumn("visit_no", F.row_number().over(Window.partitionBy(key).orderBy("stop_sequence", "scheduled_arrival_time", "stop_id", "trip_id")))
+    """``visit_no`` from 1 within a key, by sequence, time text, stop and trip.
+
+    Visits are numbered within each (key, sequence, time, stop) and shifted by the number of visits before it, which comes
+    from a table of these, so no task gets all visits of a route.
+    """
+    place = ["stop_sequence", "scheduled_arrival_time", "stop_id"]
+    counts = visits.groupBy(key, *place).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in (key, *place)], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(key, *place).orderBy("trip_id"))
+    same = F.lit(True)
+    for c in (key, *place):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = visits.withColumn("__at", inside).join(starts, same)
+    return out.withColumn("visit_no", (F.col("__start") + F.col("__at")).cast("int")).drop("__at", "__start", *[f"__{c}" for c in (key, *place)])
 
 
 def stop_catalogue(keyed: DataFrame) -> DataFrame:

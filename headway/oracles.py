@@ -145,13 +145,12 @@ PARTS: dict[str, tuple[str, str]] = {
     "representative_route": (KEYED + REPR, "select * from repr"),
     "regression_metrics": (MEANS, """select count(*) as n, round(avg(abs(e)), 6) as mae, round(avg(e * e), 6) as mse, round(1 - sum(e * e) / (count(*) * var_pop(delay_minutes)), 6) as r2
         from (select delay_minutes, delay_minutes - m as e from v join m2 using (route_id, route_short_name, stop_id) where delay_minutes is not null)"""),
-    "order_stops": ("", """select route_key, cast(row_number() over (partition by route_key order by stop_sequence, scheduled_arrival_time, stop_id, trip_id) as int) as visit_no, stop_sequence, scheduled_arrival_time
-        from (select *, concat_ws('|', route_id, route_short_name, day_of_week, hour_of_day) as route_key from v)"""),
+    "order_stops": (KEYED, "select route_key, cast(row_number() over (partition by route_key order by stop_sequence, scheduled_arrival_time, stop_id, trip_id) as int) as visit_no, stop_sequence, scheduled_arrival_time from k"),
     "stop_catalogue": (KEYED + CATALOGUE, "select * from cat"),
     "first_sequence": (KEYED, "select route_key, stop_id, min(stop_sequence) as first_sequence from k group by 1, 2"),
     "collapse_stops": (KEYED + CATALOGUE, _collapse("cat", "route_key")),
     "route_stop_lists": ("", LISTS.format(f"select distinct * from ({INPUT})")),
-    "route_index_json": ("", f"select route_id, cast(len(string_split(stops, ',')) as int) as n_stops, md5(stops) as digest from ({LISTS.format(INPUT)})"),
+    "route_index_json": ("", f"select route_id, cast(len(string_split(stops, ',')) as int) as n_stops, md5(stops) as digest from ({LISTS.format(f'select distinct * from ({INPUT})')})"),
     "route_stop_index": (INDEX, "select * from idx"),
     "nested_route_index": (INDEX, "select route_short_name, string_agg(cast(stop_id as varchar), ',' order by pos) as stop_ids from idx group by 1"),
     "nearest_stop": (ENDS, "select request_id, stop_id, round(km, 6) as distance_km from nf"),
@@ -189,5 +188,32 @@ PARTS: dict[str, tuple[str, str]] = {
 }
 
 
+AT = "timestamp '2024-01-01 09:30:00'"
+#: Request times as text: the clock as written, and the zone.
+TEXT_TIMES = f""",
+txt as (select *, case when request_id % 6 in (2, 3) then {AT} else date_trunc('second', request_ts) end as written,
+               case request_id % 6 when 0 then '+00:00' when 1 then '+05:30' when 4 then '-08:00' else '' end as utc_offset from req)"""
+WALK = """,
+walk as (select request_id, case when i <= j then idx.pos - i else i - idx.pos end as seg, idx.stop_id, stop_name, stop_sequence, lat, lon, scheduled_arrival_time
+  from ij join idx on idx.route_short_name = ij.route_short_name and idx.pos between least(i, j) and greatest(i, j) where status = 'ok' and i is not null and j is not null)"""
+LOOSE = r"""case when regexp_full_match(clock_text, '\d{1,2}:\d{1,2}(:\d{1,2}(:[+-]?\d+)*)?') then
+  case when cast(string_split(clock_text, ':')[1] as int) < 24 and cast(string_split(clock_text, ':')[2] as int) < 60 and coalesce(cast(string_split(clock_text, ':')[3] as int), 0) < 60
+       then cast(string_split(clock_text, ':')[1] as int) * 3600 + cast(string_split(clock_text, ':')[2] as int) * 60 + coalesce(cast(string_split(clock_text, ':')[3] as int), 0) end end"""
+PARTS |= {
+    "parse_iso": (TEXT_TIMES, "select request_id, strftime(written, '%Y-%m-%d %H:%M:%S') as clock, cast(isodow(written) - 1 as int) as day_of_week, cast(hour(written) as int) as hour_of_day, utc_offset from txt"),
+    "eta_of_text_times": (TIMELINE.replace("from req)", "from (select * exclude (written, utc_offset) replace (written as request_ts) from txt))"), "select request_id, pos, stop_id, predicted_eta_iso from tl"),
+    "model_offsets": (TEXT_TIMES + ENDS + WALK, "select request_id, utc_offset, count(*) as n_stops, count(*) as n_with_zone from walk join txt using (request_id) group by 1, 2"),
+    "loose_clock": ("", f"""select clock_text, count(*) as n, cast({LOOSE} as int) as seconds from (
+        select scheduled_arrival_time || case stop_id % 3 when 0 then ':7' when 1 then ':x' else '' end as clock_text from v) group by 1, 3"""),
+    "coordinate_texts": (INDEX, "select route_short_name, stop_id, printf('%.5f', lat) || ', ' || printf('%.5f', lon) as coordinates from idx"),
+    "score_status": ("", "select stop_id, stop_sequence, 'ok' as status, count(*) as n_visits, count(*) as n_predictions from v group by 1, 2"),
+    "eta_from_model_stops": (ENDS + WALK, "select * from walk"),
+    "eta_from_model_status": (ENDS, f"select ij.request_id, case when {STATUS.replace('route_short_name', 'req.route_short_name')} <> 'ok' then 'invalid_request' when ij.status <> 'ok' then ij.status when i is null or j is null then 'stop_not_on_route' else 'ok' end as status from ij join req using (request_id)"),
+    "segment_counts": (ENDS + WALK, "select request_id, count(*) as segment_stop_count from walk group by 1"),
+    "model_responses": (ENDS + WALK, "select request_id, count(*) as n_waypoints, string_agg(cast(stop_id as varchar), ',' order by seg) as stop_ids, count(*) as segment_stop_count from walk group by 1"),
+}
+PARTS["eta_of_text_times"] = (TEXT_TIMES + PARTS["eta_of_text_times"][0], PARTS["eta_of_text_times"][1])
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"with {BASE}{more}\n{query}" for name, (more, query) in PARTS.items()}

@@ -38,8 +38,24 @@ def named_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; one of our own only where the cluster names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    """A new folder that all executors share; one of our own only in local mode, where there is but one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> eta.Base:
+    """What answers need of the visits, written once, so that a plan with several uses doesn't read the visits again."""
+    path = scratch(spark)
+    base = eta.base_of(visits(spark, sf_dir))
+    base.sums.write.parquet(f"{path}/sums")
+    sums = spark.read.parquet(f"{path}/sums")
+    base.catalogue.write.parquet(f"{path}/catalogue")
+    baseline.representative_from_sums(sums).write.parquet(f"{path}/representative")
+    return eta.load_base(spark, path)
 
 
 @query
@@ -154,7 +170,7 @@ def regression_metrics(spark, d):
 
 @query
 def order_stops(spark, d):
-    rows = stops.order_stops(visits(spark, d).withColumn("route_key", F.concat_ws("|", "route_id", "route_short_name", "day_of_week", "hour_of_day")))
+    rows = stops.order_stops(clean.route_keys(visits(spark, d)))
     return rows.select("route_key", "visit_no", "stop_sequence", "scheduled_arrival_time")
 
 
@@ -182,7 +198,7 @@ def route_stop_lists(spark, d):
 @query
 def route_index_json(spark, d):
     path = scratch(spark)
-    files.write_route_index(stops.route_stop_lists(clean.index_input(raw_visits(spark, d)), every_visit=True), path)
+    files.write_route_index(stops.route_stop_lists(clean.index_input(raw_visits(spark, d))), path)
     return files.read_route_index(spark, path).select("route_id", F.size("stops").alias("n_stops"), F.md5(F.array_join("stops", ",")).alias("digest"))
 
 
@@ -229,50 +245,50 @@ def segment_status(spark, d):
 
 @query
 def lookup_delay(spark, d):
-    return eta.with_delays(requests(spark, d), visits(spark, d)).select("request_id", "stop_id", F.round("mean_delay", 6).alias("mean_delay"))
+    return eta.with_delays(requests(spark, d), prepared(spark, d)).select("request_id", "stop_id", F.round("mean_delay", 6).alias("mean_delay"))
 
 
 @query
 def delay_source_level(spark, d):
-    return eta.with_delays(requests(spark, d), visits(spark, d)).groupBy("delay_level").agg(F.count("*").alias("n_stops"))
+    return eta.with_delays(requests(spark, d), prepared(spark, d)).groupBy("delay_level").agg(F.count("*").alias("n_stops"))
 
 
 @query
 def eta_timeline(spark, d):
-    return eta.timeline(requests(spark, d), visits(spark, d)).select(*eta.TIMELINE)
+    return eta.timeline(requests(spark, d), prepared(spark, d)).select(*eta.TIMELINE)
 
 
 @query
 def eta_summary(spark, d):
-    return eta.summary(eta.timeline(requests(spark, d), visits(spark, d)))
+    return eta.summary(requests(spark, d), prepared(spark, d))
 
 
 @query
 def eta_responses(spark, d):
-    out = eta.responses(eta.timeline(requests(spark, d), visits(spark, d)))
+    out = eta.responses(requests(spark, d), prepared(spark, d))
     return out.select("request_id", F.size("waypoints").alias("n_waypoints"), F.col("summary.start_stop_id"), F.array_join(F.transform("stops", lambda s: s["predicted_eta_iso"]), ",").alias("etas"))
 
 
 @query
 def punctuality_bands(spark, d):
-    return baseline.punctuality_bands(eta.timeline(requests(spark, d), visits(spark, d)))
+    return baseline.punctuality_bands(eta.timeline(requests(spark, d), prepared(spark, d)))
 
 
 @query
 def waypoints(spark, d):
-    out = eta.waypoints(eta.timeline(requests(spark, d), visits(spark, d)))
+    out = eta.waypoints(eta.timeline(requests(spark, d), prepared(spark, d)))
     return out.select("request_id", F.posexplode("line").alias("pos", "p")).select("request_id", "pos", "p.lat", "p.lon")
 
 
 @query
 def routing_string(spark, d):
-    lines = eta.waypoints(eta.timeline(requests(spark, d), visits(spark, d)))
+    lines = eta.waypoints(eta.timeline(requests(spark, d), prepared(spark, d)))
     return lines.select("request_id", geo.routing_string(F.col("line")).alias("route"))
 
 
 @query
 def swapped_lines(spark, d):
-    lines = eta.waypoints(eta.timeline(requests(spark, d), visits(spark, d))).select("request_id", geo.swap(F.col("line")).alias("line"))
+    lines = eta.waypoints(eta.timeline(requests(spark, d), prepared(spark, d))).select("request_id", geo.swap(F.col("line")).alias("line"))
     return lines.select("request_id", F.element_at("line", 1)["lon"].alias("first_lon"), F.element_at("line", -1)["lat"].alias("last_lat"))
 
 
@@ -353,15 +369,22 @@ def assemble_features(spark, d):
     return rows.groupBy(*[c for c in clean.FEATURES if not c.startswith("stop_l")]).agg(F.count("*").alias("n"), F.min("stop_lat").alias("least_lat"), F.max("stop_lon").alias("most_lon"))
 
 
+_TRAINED: dict[tuple, training.Trained] = {}
+
+
 def _trained(spark, d) -> training.Trained:
-    return training.train_delay_model(visits(spark, d))
+    """Trained once for a session and a folder."""
+    key = (id(spark), d)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train_delay_model(visits(spark, d))
+    return _TRAINED[key]
 
 
 @query
 def model_metrics(spark, d):
     fitted = _trained(spark, d)
     path = scratch(spark)
-    files.write_model_metadata(spark, path, fitted.kind, clean.FEATURES, [r.route_short_name for r in fitted.codes.orderBy("route_encoded").collect()], fitted.metrics)
+    files.write_model_metadata(spark, path, fitted.kind, clean.FEATURES, fitted.codes, fitted.metrics)
     return spark.read.json(path)
 
 
@@ -379,15 +402,95 @@ def score_batch(spark, d):
 
 
 @query
-def eta_from_model(spark, d):
+def score_status(spark, d):
+    """What of a scored batch isn't the model's number."""
+    return score_batch(spark, d).groupBy("stop_id", "stop_sequence", "status").agg(F.count("*").alias("n_visits"), F.count("prediction").alias("n_predictions"))
+
+
+def _from_model(spark, d, rows=None) -> tuple[DataFrame, DataFrame]:
     fitted = _trained(spark, d)
-    return eta.eta_from_model(named_requests(spark, d), by_name(spark, d), fitted.codes, fitted.best)[0]
+    return eta.eta_from_model(named_requests(spark, d) if rows is None else rows, by_name(spark, d), fitted.codes, fitted.best)
+
+
+@query
+def eta_from_model(spark, d):
+    return _from_model(spark, d)[0]
+
+
+@query
+def eta_from_model_stops(spark, d):
+    """The model path's stops in the order of travel, without the model's numbers."""
+    return _from_model(spark, d)[0].select("request_id", "seg", "stop_id", "stop_name", "stop_sequence", "lat", "lon", "scheduled_arrival_time")
+
+
+@query
+def eta_from_model_status(spark, d):
+    return _from_model(spark, d)[1]
 
 
 @query
 def segment_summary(spark, d):
-    fitted = _trained(spark, d)
-    return eta.segment_summary(eta.eta_from_model(named_requests(spark, d), by_name(spark, d), fitted.codes, fitted.best)[0])
+    return eta.segment_summary(_from_model(spark, d)[0])
+
+
+@query
+def segment_counts(spark, d):
+    return segment_summary(spark, d).select("request_id", "segment_stop_count")
+
+
+@query
+def model_responses(spark, d):
+    """The nested answer of the model path; without the model's numbers."""
+    out = eta.model_responses(_from_model(spark, d)[0])
+    ids = F.array_join(F.transform("stops", lambda s: s["stop_id"].cast("string")), ",")
+    return out.select("request_id", F.size("waypoints").cast("long").alias("n_waypoints"), ids.alias("stop_ids"), F.col("summary.segment_stop_count"))
+
+
+def text_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose time is ISO text, with zones of several kinds, and some that can't be read."""
+    i, ts = F.col("request_id"), F.date_format("request_ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(i % 6 == 0, F.concat(ts, F.lit("Z"))).when(i % 6 == 1, F.concat(ts, F.lit("+05:30"))).when(i % 6 == 2, F.lit("soon")).when(i % 6 == 3, F.lit(None)).when(i % 6 == 4, F.concat(ts, F.lit("-0800"))).otherwise(ts)
+    return requests(spark, d).withColumn("request_ts", text)
+
+
+AS_OF = "2024-01-01 09:30:00"
+
+
+@query
+def parse_iso(spark, d):
+    """Request times as text: the written clock, its weekday and hour, and the zone."""
+    rows = eta.iso_requests(text_requests(spark, d), F.lit(AS_OF).cast("timestamp_ntz"))
+    return rows.select("request_id", F.date_format("request_ts", "yyyy-MM-dd HH:mm:ss").alias("clock"), times.day_of_week(F.col("request_ts")).alias("day_of_week"), F.hour("request_ts").alias("hour_of_day"), "utc_offset")
+
+
+@query
+def eta_of_text_times(spark, d):
+    """Estimates from averages for requests whose time is text."""
+    rows = eta.iso_requests(text_requests(spark, d), F.lit(AS_OF).cast("timestamp_ntz"))
+    return eta.timeline(rows, prepared(spark, d)).select("request_id", "pos", "stop_id", "predicted_eta_iso")
+
+
+@query
+def model_offsets(spark, d):
+    """The zone that the model path's arrival times keep."""
+    rows = eta.iso_requests(text_requests(spark, d).withColumn("route_short_name", text.route_text(F.col("route_short_name"))), F.lit(AS_OF).cast("timestamp_ntz"))
+    out = _from_model(spark, d, rows)[0]
+    return out.groupBy("request_id", "utc_offset").agg(F.count("*").alias("n_stops"), F.count_if(F.endswith("predicted_eta_iso", F.col("utc_offset"))).alias("n_with_zone"))
+
+
+@query
+def loose_clock(spark, d):
+    """The model path's rule for clock times, on times with a fourth part too."""
+    t = F.col("scheduled_arrival_time")
+    four = F.when(F.col("stop_id") % 3 == 0, F.concat(t, F.lit(":7"))).when(F.col("stop_id") % 3 == 1, F.concat(t, F.lit(":x"))).otherwise(t)
+    rows = visits(spark, d).select(four.alias("clock_text"))
+    return rows.groupBy("clock_text").agg(F.count("*").alias("n")).select("clock_text", "n", times.seconds_of(times.clock(F.col("clock_text"), strict=False)).alias("seconds"))
+
+
+@query
+def coordinate_texts(spark, d):
+    rows = by_name(spark, d)
+    return rows.select("route_short_name", "stop_id", text.coordinates_text(F.col("lat"), F.col("lon")).alias("coordinates"))
 
 
 @query
@@ -397,5 +500,5 @@ def eta_request_stream(spark, d):
 
     rows, out = requests(spark, d), scratch(spark)
     rows.repartition(2).write.parquet(f"{out}/in")
-    answer(read_requests(spark, f"{out}/in", rows.schema), visits(spark, d), f"{out}/out", f"{out}/state").awaitTermination()
+    answer(read_requests(spark, f"{out}/in", rows.schema), prepared(spark, d), f"{out}/out", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/out").select(*eta.TIMELINE)

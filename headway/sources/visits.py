@@ -48,7 +48,10 @@ def read_route_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROUTE_INDEX).json(path)
 
 
-def write_model_metadata(spark: SparkSession, path: str, model_type: str, features: Sequence[str], labels: Sequence[str], metrics: dict[str, float]) -> None:
-    row = (model_type, list(features), [f.replace("_", " ").title() for f in features], list(labels), (metrics["mae"], metrics["mse"], metrics["r2"]))
-    schema = "model_type string, feature_columns array<string>, feature_names array<string>, label_encoder_classes array<string>, performance struct<test_mae:double,test_mse:double,test_r2:double>"
-    spark.createDataFrame([row], schema).write.mode("overwrite").json(path)
+def write_model_metadata(spark: SparkSession, path: str, model_type: str, features: Sequence[str], codes: DataFrame, metrics: dict[str, float]) -> None:
+    """One JSON object.  codes: ``route_short_name, route_encoded``; its labels become an array in order of their codes."""
+    labels = codes.agg(F.sort_array(F.collect_list(F.struct("route_encoded", "route_short_name"))).alias("x")).select(F.transform("x", lambda x: x["route_short_name"]).alias("label_encoder_classes"))
+    names = F.array(*[F.lit(f.replace("_", " ").title()) for f in features])
+    numbers = F.struct(*[F.lit(metrics[k]).cast("double").alias(f"test_{k}") for k in ("mae", "mse", "r2")])
+    out = labels.select(F.lit(model_type).alias("model_type"), F.array(*map(F.lit, features)).alias("feature_columns"), names.alias("feature_names"), "label_encoder_classes", numbers.alias("performance"))
+    out.write.mode("overwrite").json(path)

@@ -1,6 +1,7 @@
 """Route requests as a stream, answered by the batch plan.
 
-Each request is answered alone, so there is no state and no watermark; the visits are static.
+Each request is answered alone, so there is no state and no watermark; the visits are static, and what answers need of
+them is made once, before the stream starts, not for every batch.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ def read_requests(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def answer(requests: DataFrame, visits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's timeline to ``path``/batch=N; a batch that runs again replaces its own folder."""
+def answer(requests: DataFrame, base: eta.Base, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's timeline to ``path``/batch=N; a batch that runs again replaces its own folder.
+
+    base: prepared tables (``eta.load_base``).
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        eta.timeline(rows, visits).select(*eta.TIMELINE).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        eta.timeline(rows, base).select(*eta.TIMELINE).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

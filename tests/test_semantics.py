@@ -106,7 +106,7 @@ def test_clamp_and_round_to_even(spark):
 
 def test_total_adds_rounded_delays(visits, requests):
     v = visits({"delay_minutes": 0.125}, {"stop_id": "20", "stop_sequence": "2", "delay_minutes": 0.125})
-    assert eta.summary(eta.timeline(requests({}), v)).first().total_predicted_delay_minutes == 0.24
+    assert eta.summary(requests({}), v).first().total_predicted_delay_minutes == 0.24
 
 
 def test_eta_text(visits, requests):
