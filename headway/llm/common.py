@@ -67,6 +67,18 @@ def scope() -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is, or seems to be, in ``keys``, by a Bloom filter: so a join on few keys shuffles few rows.
+
+    The filter has a byte for each position and at most 8 MB, whatever the number of keys; with very many it only lets
+    more pass.
+    """
+    from .url_filter import bloom
+
+    level = bloom(keys.select(F.col(key).alias("key")), 0, 16, 3, 1 << 23)
+    return rows.filter(level.holds(F.col(key))) if level else rows.filter("false")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

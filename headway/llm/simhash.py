@@ -6,7 +6,7 @@ as 00, 01, 11, a point is a 64-bit number and the Manhattan distance of two poin
 
 The grid has 8 axes of 4 segments.  A range of 4 in Manhattan distance leaves at least 4 axes untouched, so the range join
 becomes equi-joins: each point is put into one cell for each of the 70 choices of 4 axes, and only points that share a
-cell are compared: always by the Manhattan bound first, then by the fingerprints themselves.  Cells are nearly as
+cell (by a 64-bit hash of it) are compared: always by the Manhattan bound first, then by the fingerprints themselves.  Cells are nearly as
 selective as 24 random bits, so unrelated points rarely meet.  Equal fingerprints are one point, whatever the number of
 copies.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scope
+from .common import cut, scope, sifted
 from .components import components
 
 SHINGLE, DISTANCE, AXES, BLOCK, SEED = 4, 4, 8, 1024, 42
@@ -120,16 +120,16 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np
 
 
 def _cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (mask, cell, i, j, block, fp), sorted: links within each (mask, cell, i, j)."""
+    """Rows of (cell, i, j, block, fp), sorted: links within each (cell, i, j)."""
     held: list[np.ndarray] = []
 
     def work(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left = rows[rows[:, 4] == rows[0, 2], 5]
-        right = left if rows[0, 2] == rows[0, 3] else rows[rows[:, 4] == rows[0, 3], 5]
+        left = rows[rows[:, 3] == rows[0, 1], 4]
+        right = left if rows[0, 1] == rows[0, 2] else rows[rows[:, 3] == rows[0, 2], 4]
         return _forest(left, right, distance)
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+        edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
         parts = [work(x) for x in np.split(rows, edges) if len(x) > 1]
         if parts:
             a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -140,7 +140,7 @@ def _cells(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             continue
         held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1))
         rows = np.concatenate(held)
-        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
         keep = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
         if keep:
             yield from out(rows[:keep])
@@ -154,17 +154,19 @@ def links(fps: DataFrame, distance: int = DISTANCE, axes: int = AXES, block: int
     all_masks = F.array(*map(F.lit, masks(distance, axes)))
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # By another hash than that of a group-by on fp, whose partitions would be kept however few they are.
-    points = fps.repartition(parts, F.xxhash64(F.lit("spread"), "fp")).select("fp", F.posexplode(all_masks).alias("mask", "bits")).select("fp", "mask", point(F.col("fp")).bitwiseAND(F.col("bits")).alias("cell"))
-    cells = cut(points.groupBy("mask", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+    spread = fps.repartition(parts, F.xxhash64(F.lit("spread"), "fp")).select("fp", F.posexplode(all_masks).alias("mask", "bits"))
+    points = spread.select("fp", F.xxhash64("mask", point(F.col("fp")).bitwiseAND(F.col("bits"))).alias("cell"))
+    cells = cut(points.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     a, b = F.col("a"), F.col("b")
     pairs = cells.filter("n = 2").filter(differ(point(a), point(b)) <= distance).filter(differ(a, b) <= distance).select("a", "b")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = points.join(cells.filter("n > 2").select("mask", "cell", blocks.alias("blocks")), ["mask", "cell"])
+    large = cells.filter("n > 2")
+    members = sifted(points, large, "cell").join(large.select("cell", blocks.alias("blocks")), "cell")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["mask", "cell", "i", "j"]
-    work = dealt.select("mask", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
+    keys = ["cell", "i", "j"]
+    work = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
     return pairs.unionAll(work.mapInArrow(lambda x: _cells(x, distance), "a long, b long"))
 
 

@@ -24,6 +24,7 @@ with the name of an added one are replaced.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,11 +74,12 @@ def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Col
     return F.transform(fitting, one)
 
 
-def bloom(keys: DataFrame, number: int, bits_per_key: int, hashes: int) -> Level | None:
-    """The filter of the distinct ``key`` column; None if there are no keys."""
+def bloom(keys: DataFrame, number: int, bits_per_key: int, hashes: int, most: int | None = None) -> Level | None:
+    """The filter of the distinct ``key`` column, of at most so many positions; None if there are no keys."""
     if not (n := keys.count()):
         return None
     bits = 64 * -(-n * bits_per_key // 64)
+    bits = min(bits, most) if most else bits
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("at"))
     words = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("v"))
     filled = bytearray(bits)
@@ -114,6 +116,14 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in rules])))
 
 
+def _in_part(part_of: Callable[[Column], Column], part: int) -> Callable[[Column], Column]:
+    return lambda k: part_of(k["key"]) == part
+
+
+def _judged(block: list[Level], allow: list[Level]) -> Callable[[Column], Column]:
+    return lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), listed(k["key"], block).alias("block"), listed(k["key"], allow).alias("allow"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``.  ``rules``: ``key`` (host and path prefix), ``verdict`` (allow or block)."""
     host, path = split_url(F.col(url))
@@ -127,15 +137,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_ke
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     parts = -(-rules.count() * bits_per_key // max_bytes)
     part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
-    best = F.lit(None).cast("struct<size:int,host_size:int,key:string,block:boolean,allow:boolean>")
+    best = F.lit(None)
     for part in range(parts):
         mine = rules.filter(part_of(F.col("key")) == part) if parts > 1 else rules
         keys = candidates(F.col("host"), F.col("path"), shapes)
-        keys = F.filter(keys, lambda k, n=part: part_of(k["key"]) == n) if parts > 1 else keys
+        keys = F.filter(keys, _in_part(part_of, part)) if parts > 1 else keys
         universe = rows.select(F.explode(keys).alias("k")).select("k.key")
         block, allow = (build(mine.filter(F.col("verdict") == v).select("key"), universe, bits_per_key, hashes) for v in ("block", "allow"))
-        judged = F.transform(keys, lambda k, b=block, a=allow: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), listed(k["key"], b).alias("block"), listed(k["key"], a).alias("allow")))
-        hit = F.array_max(F.filter(judged, lambda k: k["block"] | k["allow"]))
+        hit = F.array_max(F.filter(F.transform(keys, _judged(block, allow)), lambda k: k["block"] | k["allow"]))
         rows = rows.withColumn("__best", F.greatest(best, hit) if part else hit)
         rows = cut(rows) if part + 1 < parts else rows
         best = F.col("__best")
