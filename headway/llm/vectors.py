@@ -10,10 +10,11 @@ Vectors are compared only within their label (and length).  Equal vectors are on
 2. Build: in every shard, each node's neighbours by similarity are pruned robustly (a neighbour is dropped if one
    already kept is nearer to it, by ``ALPHA``, than the node is), to at most ``DEGREE``, plus links back.
 3. Union: a node's adjacency lists from all its shards are united into one flat graph.
-4. Search: every node is a query in its home shard.  The search goes greedily, ``beam`` wide, from the shard's medoid along the
-   united lists to the nearest nodes, and from every node within the range on through all its neighbours until no new
-   node turns up.  Where it has met nodes that lie in further shards too, it goes on there in the next round; rounds end when
-   no query has an unseen shard to go to.  A node is counted where it is at home, so never twice.
+4. Search: every node is a query in its home shard.  The search goes greedily, ``beam`` wide, from the shard's medoid, and from
+   the query's own node, along the united lists to the nearest nodes, and from every node within the range on through all
+   its neighbours until no new node turns up.  Where it has met nodes that lie in further shards too, it goes on there in the
+   next round, from the medoid and one of these; rounds end when no query has an unseen shard to go to.  A node is counted
+   where it is at home, so never twice.
 5. Verify: what the search meets is compared exactly, in double precision.
 6. Audit: the links of a sample of ``AUDIT`` nodes are compared with brute force, once over all links and once for nodes
    with few; below ``RECALL`` the search is repeated with more overlap and a wider beam, and after ``TRIES`` every query is
@@ -143,10 +144,11 @@ def _build(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": names, "near": [[names[j] for j in sorted(s) if j != i] for i, s in enumerate(near)]})
 
 
-def _range_search(sims: np.ndarray, heads: np.ndarray, near: np.ndarray, medoid: int, cosine: float, beam: int) -> np.ndarray:
-    """Which nodes each query meets.  sims: queries x nodes; heads, near: where each node's neighbours begin, and these."""
+def _range_search(sims: np.ndarray, heads: np.ndarray, near: np.ndarray, medoid: int, entry: np.ndarray, cosine: float, beam: int) -> np.ndarray:
+    """Which nodes each query meets.  sims: queries x nodes; heads, near: where each node's neighbours begin, and these; entry: a node to start from besides."""
     seen, fresh = np.zeros(sims.shape, bool), np.zeros(sims.shape, bool)
-    seen[:, medoid] = fresh[:, medoid] = True
+    for start in (medoid, entry):
+        seen[np.arange(len(sims)), start] = fresh[np.arange(len(sims)), start] = True
     now = np.arange(len(sims))
     width = min(beam, sims.shape[1])
     while len(now):
@@ -184,7 +186,7 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return names[moved], names[label[moved]]
 
 
-FOUND = "kind string, a string, b string, links long"
+FOUND = "kind string, a string, b string, links long, entry string"
 
 
 def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
@@ -195,7 +197,7 @@ def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
     """
     queries, nodes = f[f["query"]], f[~f["query"]]
     if not len(queries) or not len(nodes):
-        return pd.DataFrame({"kind": [], "a": [], "b": [], "links": []}).astype({"kind": str, "a": str, "b": str, "links": "int64"})
+        return pd.DataFrame({"kind": [], "a": [], "b": [], "links": [], "entry": []}).astype({"links": "int64"})
     here, names, asked = f["shard"].iloc[0], nodes["node"].to_numpy(str), queries["node"].to_numpy(str)
     x = _unit(nodes["v"])
     sims = _unit(queries["v"]) @ x.T
@@ -204,17 +206,22 @@ def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
         at = {n: i for i, n in enumerate(names)}
         lists = [[at[m] for m in ms if m in at] for ms in nodes["near"]]
         heads = np.concatenate(([0], np.cumsum([len(m) for m in lists])))
-        met &= _range_search(sims, heads, np.array([m for ms in lists for m in ms], int), int((x @ x.mean(axis=0)).argmax()), cosine, beam)
+        medoid = int((x @ x.mean(axis=0)).argmax())
+        entry = np.array([at.get(e, medoid) for e in queries["entry"]])
+        met &= _range_search(sims, heads, np.array([m for ms in lists for m in ms], int), medoid, entry, cosine, beam)
     met &= asked[:, None] != names[None, :]
     home = nodes["home"].to_numpy(bool)
     a, b = _forest(met, queries["root"].to_numpy(str), nodes["root"].to_numpy(str))
-    out = [pd.DataFrame({"kind": "count", "a": asked, "b": None, "links": met @ (home * nodes["n"].to_numpy())}), pd.DataFrame({"kind": "link", "a": a, "b": b, "links": 0})]
+    out = [pd.DataFrame({"kind": "count", "a": asked.astype(object), "b": None, "links": met @ (home * nodes["n"].to_numpy()), "entry": None}), pd.DataFrame({"kind": "link", "a": a, "b": b, "links": 0, "entry": None})]
     if beam is not None:
         others = sorted({s for ss in nodes["shards"] for s in ss} - {here})
-        lies = np.array([[s in ss for s in others] for ss in map(set, nodes["shards"])], float).reshape(len(names), len(others))
-        q, s = np.nonzero(met @ lies > 0)
-        out.append(pd.DataFrame({"kind": "go", "a": asked[q], "b": np.array(others, object)[s], "links": 0}))
-    return pd.concat(out)
+        member = [set(ss) for ss in nodes["shards"]]
+        for s in others:
+            there = met[:, lies] if (lies := np.flatnonzero([s in ss for ss in member])).size else met[:, :0]
+            q = np.flatnonzero(there.any(axis=1))
+            out.append(pd.DataFrame({"kind": "go", "a": asked[q], "b": s, "links": 0, "entry": names[lies[there[q].argmax(axis=1)]]}))
+    # As plain Python texts, whatever the frames have made of them.
+    return pd.DataFrame({c: np.concatenate([f[c].to_numpy(object) for f in out]) for c in ("kind", "a", "b", "links", "entry")})
 
 
 def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shard: int = SHARD) -> DataFrame:
@@ -224,23 +231,23 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
         key = ["group", "shard"]
         if beam is None:
             members = placed.withColumns({"near": F.array().cast("array<string>"), "shards": F.array().cast("array<string>")})
-            asked = placed.filter("home").select(F.col("node").alias("a"), "group").join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
+            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("node").alias("entry")).join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
         else:
             graph = placed.groupBy(*key).applyInPandas(_build, "node string, near array<string>")
             united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
             lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap ** levels
             members = cut(placed.join(united, "node").join(lies, "node"))
-            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"))
+            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"), F.col("node").alias("entry"))
         visits, found = cut(asked), None
         seen = visits.select("a", "b")
         rooted = nodes.select("node", F.col("node").alias("root"))
         while True:
             blocks = visits.groupBy("group", "b").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks")).withColumnRenamed("b", "shard")
             own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard")).join(nodes.select("node", "v", "n"), "node").join(rooted, "node").join(blocks, key)
-            queries = queries.select("node", "root", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), own.alias("block"), F.lit(True).alias("query"))
+            queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard"), "entry").join(nodes.select("node", "v", "n"), "node").join(rooted, "node").join(blocks, key)
+            queries = queries.select("node", "root", "entry", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), own.alias("block"), F.lit(True).alias("query"))
             nodes_here = members.join(blocks, key).join(rooted, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            nodes_here = nodes_here.select("node", "root", *key, "v", "n", "home", "near", "shards", "block", F.lit(False).alias("query"))
+            nodes_here = nodes_here.select("node", "root", F.lit(None).cast("string").alias("entry"), *key, "v", "n", "home", "near", "shards", "block", F.lit(False).alias("query"))
             rows = queries.unionByName(nodes_here).groupBy(*key, "block").applyInPandas(lambda f: _search(f, cosine, beam), FOUND)
             rows = cut(rows, keep=True)
             if found is None and beam is not None:  # what is joined by now needs no link any more
@@ -249,8 +256,8 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
             found = rows if found is None else found.unionByName(rows)
             if beam is None:
                 break
-            go = rows.filter("kind = 'go'").select("a", "b").distinct().join(nodes.select(F.col("node").alias("a"), "group"), "a").join(seen, ["a", "b"], "left_anti")
-            fresh = cut(go.select("a", "group", "b"))
+            go = rows.filter("kind = 'go'").groupBy("a", "b").agg(F.min("entry").alias("entry")).join(nodes.select(F.col("node").alias("a"), "group"), "a").join(seen, ["a", "b"], "left_anti")
+            fresh = cut(go.select("a", "group", "b", "entry"))
             if fresh.isEmpty():
                 break
             visits, seen = fresh, seen.unionByName(fresh.select("a", "b"))
