@@ -410,6 +410,37 @@ def test_toxicity_on_held_out_documents(spark):
         assert row.text[s.start : s.end].strip() == row.text[s.start : s.end] != ""
 
 
+def test_spans_lie_in_the_text_as_it_is(spark):
+    """Letters that grow when lower-cased don't shift what follows."""
+    texts = [f"{w} idiot {w}{w}" for w in "abcdefghij"] + [f"{w} kind {w}{w}" for w in "abcdefghij"]
+    model = toxicity.fit(texts, [1] * 10 + [0] * 10)
+    text = "\u0130x y idiot z \u0130\u0130 IDIOT"
+    row = toxicity.score(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert [text[s.start : s.end] for s in row.spans] == ["idiot", "IDIOT"]
+
+
+def test_small_groups_of_toxic_words_count():
+    """Words in a few of many toxic documents are learned; near copies of one text don't make a word toxic."""
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 40))
+    toxic = [prose() + " vilest" for _ in range(300)] + [prose() + " scurvy" for _ in range(8)]
+    copied = prose()
+    toxic += [f"{copied} onlyhere w{i}" for i in range(12)]
+    model = toxicity.fit(toxic + [prose() for _ in range(900)], [1] * len(toxic) + [0] * 900)
+    score = lambda t: model.score(model.marginals([model.ids(t)])[0])
+    assert min(score(prose() + " scurvy"), score(prose() + " vilest")) > toxicity.THRESHOLD
+    assert max(score(prose() + " onlyhere") for _ in range(5)) < toxicity.THRESHOLD
+
+
+def test_toxicity_query(spark):
+    rows = queries.op6_toxicity(spark, SMALL).collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted(r.doc_id for r in rows) == sorted(d.doc_id for d in docs.collect())
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+
+
 def test_toxicity_edges(spark, odd, none):
     model = toxicity.fit(["you idiot friend"] * 3 + [f"you {w} idiot" for w in "abcdefghij"], [1] * 13)
     assert not model.trained
@@ -802,6 +833,14 @@ def test_chat(spark, same_as_sql):
 # Sharding
 
 
+def brute_shard(key, weights):
+    from xxhash import xxh64_intdigest
+
+    first = xxh64_intdigest(("\0null" if key is None else str(key)).encode(), 42)
+    draws = [(-math.log(((xxh64_intdigest(struct.pack("<i", i), first) >> 11) + 0.5) / 2.0**53) / w, i) for i, w in enumerate(weights)]
+    return min(draws)[1]
+
+
 def test_sharding(spark, small, odd, none):
     docs = small.unionByName(odd.select(*small.columns))
     rows = sharding.assign(docs).collect()
@@ -812,8 +851,11 @@ def test_sharding(spark, small, odd, none):
     for r in rows:
         slots.setdefault(r.shard, []).append(r.slot)
         assert r.grown_shard in (r.shard, 16)
+        assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, [1.0] * 16), brute_shard(r.doc_id, [1.0] * 17))
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.assign(none).count() == 0
+    same = spark.createDataFrame([(r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in sharding.assign(small).collect()], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+    assert sorted(map(tuple, queries.op9_sharding(spark, SMALL).collect())) == sorted(map(tuple, same.collect()))
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = {r.shard: r["count"] for r in sharding.assign(many, (1.0, 3.0)).groupBy("shard").count().collect()}
     assert got[1] / 20_000 == pytest.approx(0.75, abs=0.02)
