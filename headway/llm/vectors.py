@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut, scope
 from .components import components
 
-COSINE, SHARD, SAMPLE, BRANCH, LEVELS, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 8, 2, 0.2, 16, 24, 1.2
+COSINE, SHARD, SAMPLE, BRANCH, LEVELS, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 8, 3, 0.2, 16, 24, 1.2
 RECALL, AUDIT, FEW, TRIES = 0.98, 1000, 8, 3
 
 
@@ -64,7 +64,8 @@ def _unit(v) -> np.ndarray:
 
 
 def _centres(frame: pd.DataFrame, shard: int) -> pd.DataFrame:
-    """k-means of one shard's sample, by cosine."""
+    """k-means of one shard's sample, by cosine; the same whatever the order of the rows."""
+    frame = frame.sort_values("node")
     x, k = _unit(frame["v"]), int(min(BRANCH, -(-2 * frame["total"].iloc[0] // shard), len(frame)))
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(8):
@@ -94,7 +95,7 @@ def assign(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / shard)).cast("string")
             return done.unionByName(rest.withColumn("shard", F.concat_ws("#", "shard", part)).drop("total"))
         salt = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("total") / SAMPLE))
-        sample = rest.filter(salt == 0).select("group", "shard", "v", "total")
+        sample = rest.filter(salt == 0).select("node", "group", "shard", "v", "total")
         centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>"))
 
         def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,8 +128,9 @@ def robust_prune(sims: np.ndarray, i: int, order: np.ndarray, degree: int = DEGR
 
 
 def _build(f: pd.DataFrame) -> pd.DataFrame:
-    """The pruned graph of one part: ``node, near`` (names of neighbours)."""
-    x, names = _unit(f["v"]), f["node"].to_numpy()
+    """The pruned graph of one shard: ``node, near`` (neighbours, by 64-bit hashes of their names: one too many by chance does no harm)."""
+    f = f.sort_values("node")
+    x, names, keys = _unit(f["v"]), f["node"].to_numpy(), f["key"].tolist()
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
     near: list[set] = []
@@ -141,7 +143,7 @@ def _build(f: pd.DataFrame) -> pd.DataFrame:
         for j in list(near[i]):
             near[j].add(i)
     near[medoid].update(range(0, len(x), max(1, len(x) // 64)))
-    return pd.DataFrame({"node": names, "near": [[names[j] for j in sorted(s) if j != i] for i, s in enumerate(near)]})
+    return pd.DataFrame({"node": names, "near": [[keys[j] for j in sorted(s) if j != i] for i, s in enumerate(near)]})
 
 
 def _range_search(sims: np.ndarray, heads: np.ndarray, near: np.ndarray, medoid: int, entry: np.ndarray, cosine: float, beam: int) -> np.ndarray:
@@ -203,8 +205,8 @@ def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
     sims = _unit(queries["v"]) @ x.T
     met = sims >= cosine
     if beam is not None:
-        at = {n: i for i, n in enumerate(names)}
-        lists = [[at[m] for m in ms if m in at] for ms in nodes["near"]]
+        at, by_key = {n: i for i, n in enumerate(names)}, {k: i for i, k in enumerate(nodes["key"].tolist())}
+        lists = [[by_key[m] for m in ms if m in by_key] for ms in nodes["near"]]
         heads = np.concatenate(([0], np.cumsum([len(m) for m in lists])))
         medoid = int((x @ x.mean(axis=0)).argmax())
         entry = np.array([at.get(e, medoid) for e in queries["entry"]])
@@ -230,10 +232,10 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
         placed = cut(assign(nodes, overlap, shard))
         key = ["group", "shard"]
         if beam is None:
-            members = placed.withColumns({"near": F.array().cast("array<string>"), "shards": F.array().cast("array<string>")})
+            members = placed.withColumns({"near": F.array().cast("array<long>"), "shards": F.array().cast("array<string>")})
             asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("node").alias("entry")).join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
         else:
-            graph = placed.groupBy(*key).applyInPandas(_build, "node string, near array<string>")
+            graph = placed.withColumn("key", F.xxhash64("node")).groupBy(*key).applyInPandas(_build, "node string, near array<long>")
             united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
             lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap ** levels
             members = cut(placed.join(united, "node").join(lies, "node"))
@@ -245,9 +247,9 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
             blocks = visits.groupBy("group", "b").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks")).withColumnRenamed("b", "shard")
             own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
             queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard"), "entry").join(nodes.select("node", "v", "n"), "node").join(rooted, "node").join(blocks, key)
-            queries = queries.select("node", "root", "entry", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), own.alias("block"), F.lit(True).alias("query"))
+            queries = queries.select("node", "root", "entry", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), F.xxhash64("node").alias("key"), own.alias("block"), F.lit(True).alias("query"))
             nodes_here = members.join(blocks, key).join(rooted, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            nodes_here = nodes_here.select("node", "root", F.lit(None).cast("string").alias("entry"), *key, "v", "n", "home", "near", "shards", "block", F.lit(False).alias("query"))
+            nodes_here = nodes_here.select("node", "root", F.lit(None).cast("string").alias("entry"), *key, "v", "n", "home", "near", "shards", F.xxhash64("node").alias("key"), "block", F.lit(False).alias("query"))
             rows = queries.unionByName(nodes_here).groupBy(*key, "block").applyInPandas(lambda f: _search(f, cosine, beam), FOUND)
             rows = cut(rows, keep=True)
             if found is None and beam is not None:  # what is joined by now needs no link any more
