@@ -60,13 +60,16 @@ def _chance(a: int, n: int, share: float) -> float:
 
 def _families(tokens: list[list[str]], hashes: int = 16) -> list[int]:
     """One index of each group of texts that share most of their words, by the least hashes of these."""
-    seeds, seen, out = np.random.default_rng(5).integers(1, 1 << 62, (hashes, 1)) | 1, set(), []
+    seeds, out = np.random.default_rng(5).integers(1, 1 << 62, (hashes, 1)) | 1, []
+    seen: dict[tuple[int, int], list[int]] = {}
     for i, words in enumerate(tokens):
         x = np.array([zlib.crc32(w.encode()) for w in set(words)], np.int64)
         least = list(enumerate((x * seeds).min(axis=1).tolist()))
-        if sum(k in seen for k in least) <= hashes // 3:
+        shared = Counter(j for k in least for j in seen.get(k, ()))
+        if max(shared.values(), default=0) <= hashes // 2:
             out.append(i)
-        seen.update(least)
+        for k in least:
+            seen.setdefault(k, []).append(i)
     return out
 
 

@@ -412,8 +412,9 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_spans_lie_in_the_text_as_it_is(spark):
     """Letters that grow when lower-cased don't shift what follows."""
-    texts = [f"{w} idiot {w}{w}" for w in "abcdefghij"] + [f"{w} kind {w}{w}" for w in "abcdefghij"]
-    model = toxicity.fit(texts, [1] * 10 + [0] * 10)
+    rng = np.random.default_rng(2)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 20))
+    model = toxicity.fit([prose() + " idiot" for _ in range(40)] + [prose() for _ in range(80)], [1] * 40 + [0] * 80)
     text = "\u0130x y idiot z \u0130\u0130 IDIOT"
     row = toxicity.score(spark.createDataFrame([(text,)], "text string"), model).first()
     assert [text[s.start : s.end] for s in row.spans] == ["idiot", "IDIOT"]
@@ -423,7 +424,7 @@ def test_small_groups_of_toxic_words_count():
     """Words in a few of many toxic documents are learned; near copies of one text don't make a word toxic."""
     rng = np.random.default_rng(3)
     prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 40))
-    toxic = [prose() + " vilest" for _ in range(300)] + [prose() + " scurvy" for _ in range(8)]
+    toxic = [prose() + " vilest" for _ in range(300)] + [prose() + " scurvy" for _ in range(12)]
     copied = prose()
     toxic += [f"{copied} onlyhere w{i}" for i in range(12)]
     model = toxicity.fit(toxic + [prose() for _ in range(900)], [1] * len(toxic) + [0] * 900)
@@ -855,7 +856,7 @@ def test_sharding(spark, small, odd, none):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.assign(none).count() == 0
     same = spark.createDataFrame([(r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in sharding.assign(small).collect()], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
-    assert sorted(map(tuple, queries.op9_sharding(spark, SMALL).collect())) == sorted(map(tuple, same.collect()))
+    assert sorted(map(tuple, queries.op9_sharding(spark, SMALL).select(*same.columns).collect())) == sorted(map(tuple, same.collect()))
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = {r.shard: r["count"] for r in sharding.assign(many, (1.0, 3.0)).groupBy("shard").count().collect()}
     assert got[1] / 20_000 == pytest.approx(0.75, abs=0.02)
