@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm_scoring, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
+from . import byte_bpe, chat, lm_scoring, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
 from .common import fold, table
 
-TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+TOKENIZER, PIECES, RANKS = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +69,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(RANKS), PATTERN).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
