@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tiktoken import Encoding
 
@@ -322,10 +321,9 @@ def _codec(path: str, pattern: str) -> Codec:
 def _added(df: DataFrame, source: str, fields: list[tuple[str, T.DataType]], values: Callable[[Codec, pa.Array], list[pa.Array]], ranks: str, pattern: str) -> DataFrame:
     """``df`` with further columns (name, type) worked out from ``source``, batch by batch."""
     names = [n for n, _ in fields]
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names or c == source])
-    keep = [i for i, c in enumerate(rows.columns) if c not in names]
-    at = rows.columns.index(source)
-    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    keep = [i for i, c in enumerate(df.columns) if c not in names]
+    at = df.columns.index(source)
     schema = T.StructType([plain.schema[i] for i in keep])
     for n, kind in fields:
         schema = schema.add(f"x_{n}", kind)
@@ -336,7 +334,7 @@ def _added(df: DataFrame, source: str, fields: list[tuple[str, T.DataType]], val
             new = values(codec, batch.column(at))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + new, names=schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*[rows.columns[i] for i in keep], *names)
+    return plain.mapInArrow(run, schema).toDF(*[df.columns[i] for i in keep], *names)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
