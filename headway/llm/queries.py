@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, lm_scoring, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
+from . import byte_bpe, centroids, chat, divergence, lm_scoring, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter, vectors
 from .common import fold, table
 
 TOKENIZER, PIECES, RANKS = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -69,12 +69,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     return byte_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(RANKS), PATTERN).drop("text")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroids(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -113,5 +121,25 @@ from o
 """
 
 
+OP11_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) as term from d),
+k as (select lang, term from w group by 1, 2 having count(distinct r) >= 30),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by 1, 2, 3),
+v as (select lang, count(*) as v from k group by 1),
+n as (select lang, source, coalesce(sum(n), 0) as n from g left join c using (lang, source) group by 1, 2),
+p as (select n.lang, n.source, k.term, coalesce(c.n, 0) as count, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (n.n + 5 * v) as p
+      from n join k using (lang) join v using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+q as (select k.lang, k.term, 1 + 1000000000 * (sum(c.n) + 5) // (any_value(t.n) + 5 * any_value(v)) as q
+      from k join c using (lang, term) join v using (lang) join (select lang, sum(n) as n from c group by 1) t using (lang) group by 1, 2),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce((select sum(abs(x.p - y.p)) from p x join p y using (lang, term) where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where count > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op1_url_filters": OP1_SQL, "op7_chat_formatting": OP7_SQL, "op11_source_divergence": OP11_SQL}
