@@ -11,8 +11,9 @@ word or stem belongs to toxic documents: log odds of the document counts of at l
 toxic documents, and so many of those with it are toxic as chance would give only with probability ``CHANCE``; no share of
 all toxic documents is asked for, so a small language's words count too.  Equal texts count once, and so do toxic texts
 that share most of their words.  All other tokens are clean.  The field is then fitted by gradient ascent on its likelihood.
-The classifier is fitted on a bounded sample: at most ``SAMPLE`` toxic and ``SAMPLE`` clean documents, the first ones in
-order of a hash of their ids, with at most ``SAMPLE_CHARS`` characters each (longer ones aren't chosen).  Its weights,
+The classifier is fitted on a bounded sample: at most ``SAMPLE`` toxic and ``CLEAN`` clean documents, the first ones in order
+of a hash of their ids, with at most ``SAMPLE_CHARS`` characters each (longer ones aren't chosen).  The words are counted in all of
+these, as are the documents' strengths for the calibration; the gradients take the first ``SAMPLE`` clean ones.  Its weights,
 at most ``FEATURES`` words and stems, are all that travels to the executors.
 
 Edge cases: a null or empty text has no tokens and gets the lowest score; labels repeated for a document count once, the
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"\w+")
-SAMPLE, SAMPLE_CHARS, FEATURES, SUPPORT, CHANCE, MARGIN = 1000, 20_000, 8_000, 3, 3e-5, 3.0
+SAMPLE, CLEAN, SAMPLE_CHARS, FEATURES, SUPPORT, CHANCE, MARGIN = 1000, 4000, 20_000, 8_000, 3, 3e-5, 3.0
+#: Precision of the priors of the calibration: its slope lies about 1, its shift anywhere.
+SLOPE_PRIOR, SHIFT_PRIOR = 100.0, 0.01
 STEMS = (4, 6)
 KINDS = len(STEMS) + 3  # rows of weights: word, stems, word before, word after
 THRESHOLD, SPAN = 0.3, 0.5
@@ -155,8 +158,34 @@ class Field:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.strength(p) + self.shift)))) if self.trained else 0.0
 
 
-def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: int = 40) -> Field:
-    """Fit a field to labelled documents."""
+def calibrate(x: np.ndarray, y: np.ndarray, tolerance: float = 1e-9) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of labels y over strengths x: the most likely ones under normal priors.
+
+    Newton steps on both together, halved while they don't better the fit; the priors keep the answer finite where the
+    classes are apart.  Raises if it doesn't converge.
+    """
+    points, prior, mean = np.stack([x, np.ones_like(x)], axis=1), np.array([SLOPE_PRIOR, SHIFT_PRIOR]), np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = points @ at
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(prior * (at - mean) ** 2))
+
+    at = mean
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(points @ at, -500, 500)))
+        slope = points.T @ (q - y) + prior * (at - mean)
+        step = np.linalg.solve((points * (q * (1 - q))[:, None]).T @ points + np.diag(prior), slope)
+        if np.abs(step).max() <= tolerance:
+            return float(at[0]), float(at[1])
+        now = loss(at)
+        while loss(at - step) > now and np.abs(step).max() > tolerance:
+            step = step / 2
+        at = at - step
+    raise ArithmeticError("the calibration doesn't converge")
+
+
+def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: int = 40, clean_most: int = SAMPLE) -> Field:
+    """Fit a field to labelled documents: words from all of them, weights from the toxic and the first ``clean_most`` clean ones, the calibration from all."""
     first = dict(zip(texts, toxic, strict=True))  # equal texts count once
     texts, toxic = list(first), list(first.values())
     tokens = list(map(tokens_of, texts))
@@ -177,6 +206,9 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
     size = len(model.words) + 1
     ids = [np.array([[model.words.get(w, 0) for w in words], *[[model.words.get("^" + w[:k], 0) if len(w) >= k else 0 for w in words] for k in STEMS]], np.int32) for words in tokens]
     gold = [np.array([y and not bad.isdisjoint(_features([w])) for w in words], np.float64) for words, y in zip(tokens, toxic, strict=True)]
+    every, least = ids, np.cumsum(np.array(toxic) == 0)
+    some = [i for i, y in enumerate(toxic) if y or least[i] <= clean_most]
+    ids, gold = [ids[i] for i in some], [gold[i] for i in some]
     model.emit, total = np.zeros((KINDS, size)), sum(map(len, gold))
     want = np.zeros((2, 2))
     for g in gold:
@@ -200,27 +232,21 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
         model.bias += 0.5 * g_bias / math.sqrt(square[2])
     model.emit[np.abs(model.emit) < 1e-3] = 0
     model.trained = True
-    x, y = np.array([model.strength(p) for p, _ in model._run(ids)]), np.array(toxic, float)
-    slope, shift = 1.0, 0.0
-    for _ in range(200):  # logistic calibration, by gradient with a pull towards slope 1
-        q = 1 / (1 + np.exp(-np.clip(slope * x + shift, -40, 40)))
-        w = np.maximum(q * (1 - q), 1e-3)
-        slope += np.sum((y - q) * x) / np.sum(w * x * x) * 0.5
-        shift += np.sum(y - q) / np.sum(w) * 0.5
-    model.slope, model.shift = max(slope, 0.05), shift
+    x = np.array([model.strength(p) for p, _ in model._run(every)])
+    model.slope, model.shift = calibrate(x, np.array(toxic, float))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, clean: int = CLEAN) -> Field:
     """Fit on the sample of ``docs`` that ``labels`` (doc_id, toxic) covers."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fine = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars))
     known = fine.select("doc_id").join(marks, "doc_id")  # ids alone are shuffled, and the sample's broadcast
     rows = []
-    for y in (0, 1):
-        chosen = known.filter(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows += [(r.text, y) for r in fine.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    for y, most in ((0, clean), (1, sample)):
+        chosen = known.filter(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        rows += [(r.text, y) for r in fine.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
+    return fit([t for t, _ in rows], [y for _, y in rows], clean_most=sample)
 
 
 def score(docs: DataFrame, model: Field, text: str = "text", lanes: int = 1000) -> DataFrame:

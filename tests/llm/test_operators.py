@@ -398,10 +398,53 @@ def test_marginals_equal_enumeration():
         assert np.allclose(p, hit / total)
 
 
-def test_toxicity_on_held_out_documents(spark):
+def test_calibration_converges():
+    rng = np.random.default_rng(2)
+    for x, y in (
+        (np.array([-5.0, -4.0, 9.0, 11.0]), np.array([0.0, 0, 1, 1])),  # apart
+        (np.full(50, -5.0), np.arange(50) % 2.0),  # no difference
+        (np.r_[rng.normal(-5, 0.3, 2000), rng.normal(-4.5, 8, 100)], np.r_[np.zeros(2000), np.ones(100)]),  # one-sided
+        (np.array([-40.0, 40.0]), np.array([1.0, 0.0])),  # the wrong way round
+    ):
+        slope, shift = toxicity.calibrate(x, y)
+        loss = lambda a, b: np.logaddexp(0, a * x + b).sum() - (y * (a * x + b)).sum() + toxicity.SLOPE_PRIOR / 2 * (a - 1) ** 2 + toxicity.SHIFT_PRIOR / 2 * b**2  # noqa: B023, E731
+        best = loss(slope, shift)
+        assert all(loss(slope + a, shift + b) >= best - 1e-9 for a in (-0.1, -1e-3, 0, 1e-3, 0.1) for b in (-1, -1e-2, 0, 1e-2, 1))
+
+
+def test_document_score_by_a_second_implementation():
+    """Fit, marginals by summing over all paths, and the score of the three highest, once more and slowly."""
+    texts = [f"alpha beta gamma delta word{i % 40} and {w} epsilon" for i in range(300) for w in (["vile"] if i % 3 == 0 else ["fine"])]
+    texts = [f"{t} unique{i}" for i, t in enumerate(texts)]
+    toxic = [int("vile" in t) for t in texts]
+    model = toxicity.fit(texts, toxic)
+    strengths = []
+    for text in texts:
+        words = [w.lower() for w in re.findall(r"\w+", text)]
+        weight = lambda kind, w: float(model.emit[kind, model.words.get(w, 0)])
+        e = []
+        for i, w in enumerate(words):
+            x = model.bias + weight(0, w) + sum(weight(1 + k, "^" + w[:n]) for k, n in enumerate(toxicity.STEMS) if len(w) >= n)
+            e.append(x + (weight(-2, words[i - 1]) if i else 0) + (weight(-1, words[i + 1]) if i + 1 < len(words) else 0))
+        total, hit = 0.0, np.zeros(len(words))
+        for path in itertools.product((0, 1), repeat=len(words)):
+            w = math.exp(sum(x for x, s in zip(e, path, strict=True) if s) + sum(model.move[a, b] for a, b in itertools.pairwise(path)))
+            total, hit = total + w, hit + w * np.array(path)
+        clean = math.prod(1 - p for p in sorted(hit / total)[-3:])
+        strengths.append(math.log(1 - clean) - math.log(clean))
+        got = model.score(model.marginals([model.ids(text)])[0])
+        assert got == pytest.approx(1 / (1 + math.exp(-model.slope * strengths[-1] - model.shift)), rel=1e-6)
+        if len(strengths) == 30:
+            break
+    x = np.array([model.strength(p) for p in model.marginals([model.ids(t) for t in texts])])
+    assert np.allclose(x[:30], strengths) and toxicity.calibrate(x, np.array(toxic, float)) == pytest.approx((model.slope, model.shift))
+
+
+@pytest.mark.parametrize("sample", [100, 400, 1000])
+def test_toxicity_on_held_out_documents(spark, sample):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    model = toxicity.train(docs.filter(fold("doc_id", 4) != 2), labels, sample=400)
+    model = toxicity.train(docs.filter(fold("doc_id", 4) != 2), labels, sample=sample)
     held = toxicity.score(docs.filter(fold("doc_id", 4) == 2), model).join(labels.filter("toxic is not null"), "doc_id")
     wrong = held.filter((F.col("score") >= toxicity.THRESHOLD) != (F.col("toxic") == 1)).count()
     assert wrong <= 0.05 * held.count()
@@ -648,6 +691,16 @@ def test_slots_count_every_decision(small):
         assert (lm_scoring.log_odds(want.ravel()) == mixer.tables[c]).all()
 
 
+def test_tables_hold_every_row(spark, small, odd):
+    """Repeated ids, repeated rows, long and empty texts under a sampled id: the tables are those of all rows."""
+    rows = [(1, f"text {i} of an id that has many") for i in range(400)] + [(2, "a short one"), (2, "a long one " * 6_000), (2, ""), (2, None), (None, "no id")] + [(3, "the same row again")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(small.select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
+    pairs = np.zeros((256, 256))
+    mixer = lm_scoring.train(docs, pairs)
+    for table, counts in zip(mixer.tables, lm_scoring.learn_counts(docs, mixer.code), strict=True):
+        assert (table == lm_scoring.log_odds(counts)).all()
+
+
 def slow_spans(text, every):
     """(the three words, span) of each anchor."""
     ends, words = [], []
@@ -698,7 +751,7 @@ def test_spans_and_their_decisions(spark, small):
                 change += n * math.log2((t + d) / others[k, s]) - 2.0 * n * len(s) if others[k, s] else n * math.log2((t + d) / d)
                 copied += n if others[k, s] else 0
         assert got.get(i, (0.0, 0)) == (pytest.approx(change), copied)
-    assert got[40][1] > 0 and got[41][1] > 0  # the copies
+    assert got[41][1] > 0 and got[42][1] > 0  # copies of text 1, which isn't held out
 
 
 def test_lm_scores(spark, small, odd):
