@@ -23,104 +23,115 @@ an empty table gives an empty result; other columns aren't read, whatever their
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scope
 
 SCALE, PRIOR, TOP, LEAST = 1_000_000_000, 5, 50, 30
-SPILL, SOURCES, TERMS = 300_000, 128, 4096
+SPILL, SOURCES, TERMS = 600_000, 128, 4096
 #: Runs of letters A to Z and of all characters beyond ASCII, as UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 STRIPES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in ARROW]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+def _batch(langs: list, terms: list, docs: list, sizes: list, sources: list, counts: list) -> pa.RecordBatch:
+    """Stripes one after the other; sizes: how many of the sources and counts are each stripe's."""
+    ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((sources, pa.string()), (counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), *lists], schema=ARROW)
 
 
 class Stripes:
-    """Term -> [documents, {source: occurrences}] of each language."""
+    """Term -> (documents, source -> occurrences) of each language, held by columns: the documents, and each source's occurrences."""
 
     def __init__(self) -> None:
-        self.langs: dict[str, dict[bytes, list]] = {}
+        self.langs: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         self.size = 0
 
-    def fold(self, lang: str, source: str, counts: Counter, docs: Counter) -> None:
-        """Add the terms of some documents of one language and source."""
-        stripes = self.langs.setdefault(lang, {b"": [0, {}]})
-        stripes[b""][1].setdefault(source, 0)
-        for term, n in counts.items():
-            stripe = stripes.get(term)
-            if stripe is None:
-                stripe = stripes[term] = [0, {}]
-            stripe[0] += docs[term]
-            of = stripe[1]
-            if source in of:
-                of[source] += n
-            else:
-                of[source] = n
-                self.size += 1
-
-    def spill(self, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    def fold(self, lang: str, source: str, text: bytes) -> None:
+        """Add one whole document."""
+        docs, sources = self.langs.setdefault(lang, (Counter(), {}))
+        counts = sources.get(source)
+        if counts is None:
+            counts = sources[source] = Counter({b"": 0})
+        had = len(counts)
+        terms = TERM.findall(text)
+        counts.update(terms)
+        docs.update(set(terms))
+        self.size += len(counts) - had
+
+    def spill(self, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
         """All stripes; then none is left."""
-        out = []
-        for lang, stripes in self.langs.items():
-            for term, (docs, of) in stripes.items():
-                out.append((lang, term.decode(), docs, list(of), list(of.values())))
-                if len(out) == rows:
-                    yield _batch(out)
-                    out = []
-        if out:
-            yield _batch(out)
+        for lang, (docs, sources) in self.langs.items():
+            names, stripes = list(sources), defaultdict(list)
+            for i, counts in enumerate(sources.values()):
+                for entry in zip(counts, repeat(i), counts.values()):
+                    stripes[entry[0]].append(entry)
+            terms = list(stripes)
+            for at in range(0, len(terms), rows):
+                some = terms[at : at + rows]
+                found = [stripes.pop(t) for t in some]
+                flat = list(chain.from_iterable(found))
+                yield _batch([lang] * len(some), some, [docs[t] for t in some], list(map(len, found)), [names[i] for _, i, _ in flat], [n for _, _, n in flat])
         self.langs, self.size = {}, 0
 
 
 def _fold(batches: Iterator[pa.RecordBatch], spill: int) -> Iterator[pa.RecordBatch]:
     stripes = Stripes()
     for batch in batches:
-        texts, groups = batch.column(2), {}
-        for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            counts, docs = groups.setdefault(group, (Counter(), Counter()))
-            terms = TERM.findall((texts[i].as_py() or "").encode().lower())  # of bytes, lower() changes A to Z alone
-            counts.update(terms)
-            docs.update(set(terms))
-            if len(counts) > spill:
-                stripes.fold(*group, *groups.pop(group))
-        for group, found in groups.items():
-            stripes.fold(*group, *found)
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            stripes.fold(lang, source, text.as_py().encode().lower())  # of bytes, lower() changes A to Z alone
             if stripes.size >= spill:
                 yield from stripes.spill()
     yield from stripes.spill()
 
 
-def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Add up sorted stripes with equal keys; the empty term's stripe is kept, others if enough documents have them."""
-    key, docs, of, out = None, 0, {}, []
+def _merged(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """One stripe of each run of rows [start, end), which have one key."""
+    sizes, sources, counts = [], [], []
+    bounds, flat = batch.column(3).offsets.to_numpy(), [batch.column(i).values for i in (3, 4)]
+    for a, b in zip(bounds[starts].tolist(), bounds[ends].tolist(), strict=True):
+        of: dict[str, int] = {}
+        for s, n in zip(flat[0].slice(a, b - a).to_pylist(), flat[1].slice(a, b - a).to_pylist(), strict=True):
+            of[s] = of.get(s, 0) + n
+        sizes.append(len(of))
+        sources += of
+        counts += of.values()
+    at = pa.array(starts)
+    return _batch(batch.column(0).take(at), batch.column(1).take(at).cast(pa.binary()), docs, sizes, sources, counts)
+
 
-    def close() -> list[tuple]:
-        return [(*key, docs, list(of), list(of.values()))] if key and (not key[1] or docs >= least) else []
+def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Add up sorted stripes with equal keys; the empty term's stripe is kept, others if enough documents have them.
 
+    Most terms are rare and go by the sum of their documents alone.  A batch's last stripe waits, merged, for the next batch.
+    """
+    waiting = None
     for batch in batches:
-        for lang, term, n, sources, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (lang, term) != key:
-                out += close()
-                key, docs, of = (lang, term), 0, {}
-                if len(out) >= 10_000:
-                    yield _batch(out)
-                    out = []
-            docs += n
-            for s, c in zip(sources, counts, strict=True):
-                of[s] = of.get(s, 0) + c
-    yield _batch(out + close())
+        if waiting is not None:
+            batch = pa.Table.from_batches([waiting, batch.cast(ARROW)]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        changes = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+        starts = np.concatenate(([0], 1 + np.flatnonzero(changes[0] | changes[1])))
+        ends = np.append(starts[1:], batch.num_rows)
+        docs = np.add.reduceat(batch.column(2).to_numpy(), starts)
+        fine = (docs >= least) | pc.equal(batch.column(1), "").to_numpy(zero_copy_only=False)[starts]
+        fine[-1] = False
+        yield _merged(batch, starts[fine], ends[fine], docs[fine])
+        waiting = _merged(batch, starts[-1:], ends[-1:], docs[-1:])
+    if waiting is not None and (waiting.column(2)[0].as_py() >= least or waiting.column(1)[0].as_py() == ""):
+        yield waiting
 
 
 def term_stripes(docs: DataFrame, least: int = LEAST, spill: int = SPILL) -> DataFrame:
