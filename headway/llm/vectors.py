@@ -4,9 +4,11 @@ Vectors are compared only within their label (and length).  Equal vectors are on
 
 1. Cluster: a label with more than ``SHARD`` nodes is split by k-means, fitted on a bounded sample of its nodes (about
    ``SAMPLE``, by hash), into at most ``BRANCH`` shards; shards that are still larger are split again, and so on, so neither
-   the number of centres nor a shard grows with the label.  At every split a node goes to its ``overlap`` nearest centres,
-   the first of which leads to its home, its others only if hardly farther (``CLOSE``).  What ``LEVELS`` splits leave too large is
-   dealt by hash.
+   the number of centres nor a shard grows with the label.  Where k-means would leave one child most of a shard, the shard is cut
+   into equal parts along the direction in which it is widest, so shards always shrink.  A node has one home.  Besides it lies in at
+   most ``overlap - 1`` further shards: one that another centre leads to, hardly farther than its own (``CLOSE``), where a shard
+   is split again (once a node), and the rest among the siblings of its home.  So the shards hold at most ``overlap`` times the
+   nodes; that is checked.  What ``LEVELS`` splits leave too large is dealt by hash.
 2. Build: in every shard, each node's neighbours by similarity are pruned robustly (a neighbour is dropped if one
    already kept is nearer to it, by ``ALPHA``, than the node is), to at most ``DEGREE``, plus links back.
 3. Union: a node's adjacency lists from all its shards are united into one flat graph.
@@ -17,8 +19,8 @@ Vectors are compared only within their label (and length).  Equal vectors are on
    where it is at home, so never twice.
 5. Verify: what the search meets is compared exactly, in double precision.
 6. Audit: the links of a sample of ``AUDIT`` nodes are compared with brute force, once over all links and once for nodes
-   with few; below ``RECALL`` the search is repeated with more overlap and a wider beam, and after ``TRIES`` every query is
-   compared with all shards of its label, in blocks, which is exact.  The result says the recall that was measured.
+   with few; below ``RECALL`` the search is repeated with farther overlap and a wider beam, and after ``TRIES`` every query is
+   compared with all shards of its label (without overlap), in blocks, which is exact.  The result says the recall that was measured.
 
 A task holds one shard and a block of at most ``SHARD`` queries, and the similarities between them.  It returns a number per
 query and, of the links, only a forest that joins what they join, so a dense group of thousands doesn't become all
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import cut, scope
 from .components import components
 
-COSINE, SHARD, SAMPLE, BRANCH, LEVELS, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 8, 3, 0.2, 16, 24, 1.2
+COSINE, SHARD, SAMPLE, BRANCH, LEVELS, MOST, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 12, 0.5, 3, 0.2, 16, 24, 1.2
 RECALL, AUDIT, FEW, TRIES = 0.98, 1000, 8, 3
 
 
@@ -64,52 +66,76 @@ def _unit(v) -> np.ndarray:
 
 
 def _centres(frame: pd.DataFrame, shard: int) -> pd.DataFrame:
-    """k-means of one shard's sample, by cosine; the same whatever the order of the rows."""
+    """How one shard is split, by its sample: centres by cosine, or one direction and where to cut it; the same whatever the order of the rows."""
     frame = frame.sort_values("node")
     x, k = _unit(frame["v"]), int(min(BRANCH, -(-2 * frame["total"].iloc[0] // shard), len(frame)))
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    c, cuts = x[np.linspace(0, len(x) - 1, k).astype(int)], []
     for _ in range(8):
         near = (x @ c.T).argmax(axis=1)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
-    return pd.DataFrame({"group": frame["group"].iloc[0], "shard": frame["shard"].iloc[0], "centres": [list(c)]})
+    if k > 1 and np.bincount((x @ c.T).argmax(axis=1)).max() > MOST * len(x):
+        c = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:1]
+        cuts = np.quantile(x @ c[0], np.arange(1, k) / k).tolist()
+    return pd.DataFrame({"group": frame["group"].iloc[0], "shard": frame["shard"].iloc[0], "centres": [list(c)], "cuts": [cuts]})
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest children of each vector, at most three, and how much farther than the first each is, as an angle)."""
+    if len(cuts):
+        at = x @ centres[0]
+        edges = np.concatenate(([-np.inf], cuts, [np.inf]))
+        own = np.searchsorted(cuts, at)
+        away = np.maximum(np.maximum(edges[:-1] - at[:, None], at[:, None] - edges[1:]), 0.0)
+        away[np.arange(len(x)), own] = -1.0  # at a cut, the child that it belongs to comes first
+    else:
+        away = np.arccos(np.clip(x @ centres.T, -1, 1))
+    best = np.argsort(away, axis=1, kind="stable")[:, :3]
+    away = np.maximum(np.take_along_axis(away, best, axis=1), 0.0)
+    return best, away - away[:, :1]
 
 
 PLACED = "node string, group string, shard string, v array<double>, n long, home boolean"
 
 
-def assign(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
-    """``node, group, shard, v, n, home`` for each node and each of its shards."""
-    done, rest = None, nodes.select("node", "group", F.lit("").alias("shard"), "v", "n", F.lit(True).alias("home"))
+def assign(nodes: DataFrame, overlap: int = OVERLAP, shard: int = SHARD, close: float = CLOSE) -> DataFrame:
+    """``node, group, shard, v, n, home`` for each node and each of its shards: at most ``overlap`` rows a node, exactly one of them at home."""
+    # left: how many further shards a node at home may still go to.
+    done, rest = None, nodes.select("node", "group", F.lit("").alias("shard"), "v", "n", F.lit(True).alias("home"), F.lit(overlap - 1).alias("left"))
     for level in range(LEVELS + 1):
-        sizes = rest.groupBy("group", "shard").agg(F.count("*").alias("total")).filter(F.col("total") > shard)
-        sizes = cut(sizes)
-        fine = rest.join(sizes, ["group", "shard"], "left_anti")
+        sizes = cut(rest.groupBy("group", "shard").agg(F.count_if("home").alias("total")).filter(F.col("total") > shard))
+        fine = rest.join(sizes, ["group", "shard"], "left_anti").drop("left")
         done = fine if done is None else done.unionByName(fine)
         if sizes.isEmpty():
             return done
         rest = rest.join(sizes, ["group", "shard"])
         if level == LEVELS:
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / shard)).cast("string")
-            return done.unionByName(rest.withColumn("shard", F.concat_ws("#", "shard", part)).drop("total"))
+            return done.unionByName(rest.withColumn("shard", F.concat_ws("#", "shard", part)).drop("total", "left"))
         salt = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("total") / SAMPLE))
-        sample = rest.filter(salt == 0).select("node", "group", "shard", "v", "total")
-        centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>"))
+        sample = rest.filter(F.col("home") & (salt == 0)).select("node", "group", "shard", "v", "total")
+        centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>, cuts array<double>"))
 
-        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def children(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for _, g in f.groupby(["group", "shard"], sort=False):
-                    s = _unit(g["v"]) @ np.stack([np.asarray(c) for c in g["centres"].iloc[0]]).T
-                    best = np.argsort(-s, axis=1)[:, :overlap]
-                    top = np.take_along_axis(s, best, axis=1)
-                    i, rank = np.nonzero(np.arccos(np.clip(top, -1, 1)) - np.arccos(np.clip(top[:, :1], -1, 1)) <= CLOSE)
-                    out = g.iloc[i][["node", "group", "shard", "v", "n", "home"]]
-                    yield out.assign(shard=[f"{a}.{b}" for a, b in zip(out["shard"], best[i, rank], strict=True)], home=out["home"].to_numpy() & (rank == 0))
+                    best, more = _nearest(_unit(g["v"]), np.stack([np.asarray(c) for c in g["centres"].iloc[0]]), np.asarray(g["cuts"].iloc[0], float))
+                    names = [[f"{s}.{j}" for j in js] for s, js in zip(g["shard"], best, strict=True)]
+                    yield g[["node", "group", "v", "n", "home", "left"]].assign(shard=[n[0] for n in names], others=[n[1:] for n in names], more=list(more[:, 1:]))
 
         # At most BRANCH vectors for each shard that is split, joined by shard; adaptive execution splits a large one.
-        rest = cut(rest.drop("total").join(centres, ["group", "shard"]).mapInPandas(nearest, PLACED))
+        split = cut(rest.drop("total").join(centres, ["group", "shard"]).mapInPandas(children, f"{PLACED}, left int, others array<string>, more array<double>"))
+        large = split.groupBy("group", "shard").agg(F.count_if("home").alias("total")).filter(F.col("total") > shard).select("group", "shard", F.lit(True).alias("large"))
+        split = split.join(large, ["group", "shard"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        # Further shards: where the home is split again, one and only for a node that has none yet; else as many as are left.
+        near = F.filter(F.arrays_zip("others", "more"), lambda o: o["more"] <= F.when(F.col("large"), close / 2).otherwise(close))
+        most = F.when(~F.col("home"), 0).when(F.col("large"), F.when(F.col("left") == overlap - 1, F.least(F.lit(1), "left")).otherwise(0)).otherwise(F.col("left"))
+        split = split.withColumn("near", F.transform(F.slice(near, F.lit(1), most), lambda o: o["others"]))
+        own = split.withColumn("left", F.col("left") - F.size("near")).select("node", "group", "shard", "v", "n", "home", "left")
+        further = split.select("node", "group", F.explode("near").alias("shard"), "v", "n", F.lit(False).alias("home"), F.lit(0).alias("left"))
+        rest = cut(own.unionByName(further))
     raise AssertionError
 
 
@@ -226,10 +252,13 @@ def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate([f[c].to_numpy(object) for f in out]) for c in ("kind", "a", "b", "links", "entry")})
 
 
-def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shard: int = SHARD) -> DataFrame:
-    """Rows of ``FOUND``, of kind ``count`` and ``link``.  No beam: every query is compared with all shards of its group."""
+def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shard: int = SHARD, close: float = CLOSE) -> DataFrame:
+    """Rows of ``FOUND``, of kind ``count`` and ``link``.  No beam: every query is compared with all shards of its group, and no node lies in two."""
     with scope():
-        placed = cut(assign(nodes, overlap, shard))
+        overlap = 1 if beam is None else overlap
+        placed = cut(assign(nodes, overlap, shard, close))
+        if placed.count() > overlap * nodes.count():
+            raise AssertionError("more copies of nodes than the overlap allows")
         key = ["group", "shard"]
         if beam is None:
             members = placed.withColumns({"near": F.array().cast("array<long>"), "shards": F.array().cast("array<string>")})
@@ -237,7 +266,7 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
         else:
             graph = placed.withColumn("key", F.xxhash64("node")).groupBy(*key).applyInPandas(_build, "node string, near array<long>")
             united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-            lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap ** levels
+            lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap
             members = cut(placed.join(united, "node").join(lies, "node"))
             asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"), F.col("node").alias("entry"))
         visits, found = cut(asked), None
@@ -298,13 +327,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Data
     rows, nodes = nodes_of(vectors)
     nodes = cut(nodes)
     with scope():
-        overlap, beam = OVERLAP, BEAM
+        close, beam = CLOSE, BEAM
         for attempt in range(TRIES + 1):
-            found = search(nodes, cosine, overlap, beam if attempt < TRIES else None, shard)
+            found = search(nodes, cosine, OVERLAP, beam if attempt < TRIES else None, shard, close)
             recall = audit(nodes, found, cosine)
             if recall >= RECALL:
                 break
-            overlap, beam = overlap + 1, beam * 2
+            close, beam = close * 2, beam * 2
         counts = found.filter("kind = 'count'").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
         # A component's root carries its smallest vec_id.
         name = F.struct(F.col("least").isNull().alias("none"), "least", "node")

@@ -556,6 +556,20 @@ def test_vectors_dense_group_has_few_links(spark):
     assert {r.vec_id: r.component_id for r in got} == {i: c for i, _, c in want}
 
 
+@pytest.mark.parametrize("kind", ["random", "dense", "chain"])
+def test_vectors_overlap_is_bounded(spark, kind):
+    """Every node is at home once and lies in at most three shards, whose homes are small; whatever the data."""
+    rng = np.random.default_rng(12)
+    n = 20_000 if kind == "random" else 3000
+    x = rng.normal(size=(n, 64)) if kind == "random" else np.ones(64) + rng.normal(size=(n, 64)) * 1e-3 if kind == "dense" else np.stack([np.cos(np.linspace(0, 1, n)), np.sin(np.linspace(0, 1, n))], axis=1)
+    nodes = spark.createDataFrame([(f"n{i}", "g", v.tolist(), 1) for i, v in enumerate(x)], "node string, group string, v array<double>, n long")
+    placed = vectors.cut(vectors.assign(nodes))
+    assert placed.filter("home").count() == n == placed.filter("home").select("node").distinct().count()
+    assert n < placed.count() <= 3 * n
+    assert placed.select("node", "shard").distinct().count() == placed.count()
+    assert placed.groupBy("shard").agg(F.count_if("home").alias("n")).agg(F.max("n")).first()[0] <= vectors.SHARD
+
+
 def test_vectors_go_exact_where_the_search_misses(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=3)).tolist(), 1) for i in range(700)]
