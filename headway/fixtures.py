@@ -48,6 +48,16 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(VISITS.replace("{dow}", "weekday(l_shipdate)"), **tables)
 
 
+#: The same visits with what tells when and which: the month stands for the day of service, to keep the number of partitions of the small tables low.
+DAYS = VISITS.replace("select cast(l_orderkey", "select cast(date_trunc('month', l_shipdate) as date) as service_day, cast(l_shipdate as timestamp) as seen_at,\n       concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as visit_id, cast(l_orderkey", 1)
+
+
+def visits_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw visits with ``service_day, seen_at, visit_id``."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
+    return spark.sql(DAYS.replace("{dow}", "weekday(l_shipdate)"), **tables)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REQUESTS.replace("{timestamp}", "timestamp_ntz"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 

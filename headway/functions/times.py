@@ -24,16 +24,46 @@ def seconds_of(time: Column) -> Column:
     return time["h"] * 3600 + time["m"] * 60 + time["s"]
 
 
+#: ISO 8601 as the ``fromisoformat`` of Python 3.11 reads it.  Groups: year, month, day; week's year, week, weekday; hour, minute, second, fraction; sign and
+#: hour, minute, second, fraction of the zone.  A date is written with hyphens or without, so is a time with colons; any one character lies between them.
+_CLOCK = r"(?:(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?|(\d\d)(?:(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?)"
+_DATE = r"(?:(\d{4})-(\d\d)-(\d\d)|(\d{4})(\d\d)(\d\d)|(\d{4})-W(\d\d)(?:-(\d)(?!\d))?|(\d{4})W(\d\d)(?:(\d)(?=(?:\d(?:\d\d)*)?(?:\D|$)))?)"
+ISO = rf"(?s)^{_DATE}(?:.(?:{_CLOCK}(?:(Z)|([+-]){_CLOCK})?)?)?$"
+
+
+def iso_parts(text: Column) -> Column:
+    """A struct (at, zone) of an ISO text: the wall clock as written and what it says of the zone (``+hh:mm``, or empty); null where it isn't one."""
+    text = text.cast("string")
+    found = F.split(F.regexp_replace(text, ISO, "|".join(f"${i}" for i in range(1, 31))), r"\|")
+    group = lambda *at: F.coalesce(*[F.nullif(F.get(found, F.lit(i - 1)), F.lit("")) for i in at])
+    number = lambda *at: F.coalesce(group(*at).try_cast("int"), F.lit(0))
+    micros = lambda *at: F.coalesce(F.rpad(F.substring(group(*at), 1, 6), 6, "0").try_cast("int"), F.lit(0))
+    # The week of January 4th is a year's first.
+    year, week, day = group(7, 10).try_cast("int"), group(8, 11).try_cast("int"), F.coalesce(group(9, 12).try_cast("int"), F.lit(1))
+    first = F.date_trunc("week", F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-04")).try_cast("timestamp_ntz")).cast("date")
+    by_week = F.date_add(first, (week - 1) * 7 + day - 1)
+    by_week = F.when((year > 0) & week.between(1, 53) & day.between(1, 7) & (F.weekofyear(by_week) == week), by_week)
+    by_month = F.concat_ws("-", group(1, 4), group(2, 5), group(3, 6)).try_cast("date")
+    date = F.coalesce(F.when(group(1, 4) != "0000", by_month), by_week)
+    h, m, s, us = number(13, 17), number(14, 18), number(15, 19), micros(16, 20)
+    zh, zm, zs, zus = number(23, 27), number(24, 28), number(25, 29), micros(26, 30)
+    fine = F.regexp_like(text, F.lit(ISO)) & (h < 24) & (m < 60) & (s < 60) & (zh < 24) & (zm < 60) & (zs < 60) & date.isNotNull()
+    interval = F.make_dt_interval(F.lit(0), h, m, (s + us / F.lit(1e6)).cast("decimal(18,6)"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    tail = F.when((zs > 0) | (zus > 0), F.concat(F.lit(":"), two(zs), F.when(zus > 0, F.concat(F.lit("."), F.lpad(zus.cast("string"), 6, "0"))).otherwise(""))).otherwise("")
+    sign = F.when((zh == 0) & (zm == 0) & (zs == 0) & (zus == 0), F.lit("+")).otherwise(group(22))
+    zone = F.when(group(21).isNotNull(), F.lit("+00:00")).when(group(22).isNotNull(), F.concat(sign, two(zh), F.lit(":"), two(zm), tail)).otherwise("")
+    return F.when(fine, F.struct((date.cast("timestamp_ntz") + interval).alias("at"), zone.alias("zone")))
+
+
 def parse_iso(text: Column, as_of: Column) -> Column:
     """A wall-clock timestamp; ``as_of`` where the text is absent or isn't one.  An offset or Z is ignored."""
-    return F.coalesce(text.try_cast("timestamp_ntz"), as_of.cast("timestamp_ntz"))
+    return F.coalesce(iso_parts(text)["at"], as_of.cast("timestamp_ntz"))
 
 
 def offset_text(text: Column) -> Column:
     """The zone at the end of an ISO text as ``+hh:mm``; empty where there is none."""
-    found = F.regexp_extract(text, r"(?:[T ]\d{2}:?\d{2}.*?)(Z|[+-]\d{2}:?\d{2})$", 1)
-    zone = F.when(found == "Z", F.lit("+00:00")).otherwise(F.regexp_replace(found, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
-    return F.coalesce(zone, F.lit(""))
+    return F.coalesce(iso_parts(text)["zone"], F.lit(""))
 
 
 def day_of_week(ts: Column) -> Column:

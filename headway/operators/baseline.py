@@ -22,16 +22,42 @@ def grain(sums: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0").select(*keys, (F.col("total") / F.col("n")).alias("mean_delay"))
 
 
+#: Grains by what ``grouping_id`` says of the keys of ``SLOT``: a bit for each key that a grain lacks.
+LEVELS = {0b00000: ("stop_slot", SLOT), 0b00011: ("stop", STOP), 0b00111: ("route", ROUTE), 0b11111: ("overall", [])}
+
+
+def all_grains(sums: DataFrame) -> DataFrame:
+    """All grains of ``partial_sums`` by grouping sets, so the sums are made and dealt once: ``level`` and the keys, null where a grain lacks them."""
+    sets = [[F.col(c) for c in keys] for _, keys in LEVELS.values()]
+    rows = sums.groupingSets(sets, *SLOT).agg(F.grouping_id().alias("id"), F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0")
+    level, whole = F.lit(None).cast("string"), F.lit(False)
+    for i, (name, keys) in LEVELS.items():
+        level = F.when(F.col("id") == i, name).otherwise(level)
+        fine = F.lit(True)
+        for c in keys:  # a group whose own key is null is left out, as in ``grain``
+            fine = fine & F.col(c).isNotNull()
+        whole = whole | ((F.col("id") == i) & fine)
+    return rows.filter(whole).select(level.alias("level"), *SLOT, (F.col("total") / F.col("n")).alias("mean_delay"))
+
+
 def baseline_all(visits: DataFrame) -> DataFrame:
-    """All grains in one table: ``level`` and the keys, null where a grain lacks them."""
-    sums = partial_sums(visits)
-    levels = [("stop_slot", SLOT), ("stop", STOP), ("route", ROUTE), ("overall", [])]
-    types = dict(visits.dtypes)
-    out = None
-    for level, keys in levels:
-        rows = grain(sums, keys).select(F.lit(level).alias("level"), *[F.col(c) if c in keys else F.lit(None).cast(types[c]).alias(c) for c in SLOT], "mean_delay")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    """All grains in one table, from one pass over the visits."""
+    return all_grains(partial_sums(visits))
+
+
+def write_days(visits: DataFrame, path: str, day: str = "service_day") -> None:
+    """Keep the table of delay sums up to date: each value of ``day`` in ``visits`` is a partition, written anew as a whole; all others stay.
+
+    Sums add up over days, so a day that comes late or again costs a pass over that day's visits alone.
+    """
+    sums = visits.groupBy(day, *SLOT).agg(F.sum("delay_minutes").alias("total"), F.count("delay_minutes").alias("n"), F.count("stop_id").alias("visits"))
+    # One file for a day, whose sums have at most as many rows as there are slots.
+    sums.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def sums_of_days(days: DataFrame) -> DataFrame:
+    """``partial_sums`` of all visits from the table of ``write_days`` (or some of its days)."""
+    return days.groupBy(*SLOT).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("visits").alias("visits"))
 
 
 def representative_route(keyed: DataFrame) -> DataFrame:

@@ -19,15 +19,33 @@ def number(value: Column) -> Column:
     return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
-def clean_stop_visits(raw: DataFrame) -> DataFrame:
-    """Typed visits without those that lack a stop, a sequence or a place.  Null route texts and times become ``nan``."""
+NEEDED = {"stop_id": "no stop", "stop_sequence": "no sequence", "stop_lat": "no latitude", "stop_lon": "no longitude"}
+
+
+def judged_visits(raw: DataFrame) -> DataFrame:
+    """Typed visits with ``reason``: why one can't be used (what it lacks, the first of ``NEEDED``), or null.  Null route texts and times become ``nan``.
+
+    One pass serves both sides: keep this table and filter it twice.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-    return raw.select(
+    rows = raw.select(
         F.col("trip_id").cast("string"), text("route_id").alias("route_id"), text("route_short_name").alias("route_short_name"),
         whole(F.col("stop_id")).alias("stop_id"), "stop_name", number(F.col("stop_lat")).alias("stop_lat"), number(F.col("stop_lon")).alias("stop_lon"),
         whole(F.col("stop_sequence")).alias("stop_sequence"), text("scheduled_arrival_time").alias("scheduled_arrival_time"),
         F.col("day_of_week").cast("int"), F.col("hour_of_day").cast("int"), F.col("holiday_flag").cast("int"), number(F.col("delay_minutes")).alias("delay_minutes"),
-    ).na.drop(subset=["stop_id", "stop_sequence", "stop_lat", "stop_lon"])
+        *[c for c in ("service_day", "seen_at", "visit_id") if c in raw.columns],
+    )
+    return rows.withColumn("reason", F.coalesce(*[F.when(F.col(c).isNull(), why) for c, why in NEEDED.items()]))
+
+
+def clean_stop_visits(raw: DataFrame) -> DataFrame:
+    """Typed visits without those that lack a stop, a sequence or a place."""
+    return judged_visits(raw).filter("reason is null").drop("reason")
+
+
+def rejected_visits(raw: DataFrame) -> DataFrame:
+    """The visits that ``clean_stop_visits`` leaves out, with the reason."""
+    return judged_visits(raw).filter("reason is not null")
 
 
 def index_input(raw: DataFrame) -> DataFrame:

@@ -40,6 +40,23 @@ def split_fast(df: DataFrame, key: str = "trip_id", seed: int = 42) -> DataFrame
     return df.withColumn("split", F.when(part < 0.8, "train").when(part < 0.9, "val").otherwise("test"))
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all) by the seeded hash of a unique key."""
-    return df.orderBy(hash_key(key, seed), key).limit(n)
+def smallest(df: DataFrame, n: int, bucket: Column, order: list[Column]) -> DataFrame:
+    """The first n rows (or all) of a total order, unsorted.  bucket: a value of few kinds that never falls along the order.
+
+    Rows are counted by bucket, which is at most a row for each; whole buckets below the one that holds the n-th row are taken as
+    they lie, and only that one is sorted.
+    """
+    counts = sorted((r.bucket, r.n) for r in df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect())
+    left = n
+    for cut, size in counts:
+        if size > left:
+            edge = df.filter(bucket == F.lit(cut)).orderBy(*order).limit(left)
+            return df.filter(bucket < F.lit(cut)).unionByName(edge)
+        left -= size
+    return df
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, digits: int = 4) -> DataFrame:
+    """Exactly n rows (or all) by the seeded hash of a unique key that isn't null; 16**digits buckets."""
+    h = hash_key(key, seed)
+    return smallest(df, n, F.substring(h, 1, digits), [h, F.col(key)])

@@ -191,8 +191,8 @@ PARTS: dict[str, tuple[str, str]] = {
 AT = "timestamp '2024-01-01 09:30:00'"
 #: Request times as text: the clock as written, and the zone.
 TEXT_TIMES = f""",
-txt as (select *, case when request_id % 6 in (2, 3) then {AT} else date_trunc('second', request_ts) end as written,
-               case request_id % 6 when 0 then '+00:00' when 1 then '+05:30' when 4 then '-08:00' else '' end as utc_offset from req)"""
+txt as (select *, case when request_id % 12 in (2, 3, 7, 11) then {AT} when request_id % 12 in (8, 9) then date_trunc('day', request_ts) else date_trunc('second', request_ts) end as written,
+               case request_id % 12 when 0 then '+00:00' when 1 then '+05:30' when 4 then '-08:00' else '' end as utc_offset from req)"""
 WALK = """,
 walk as (select request_id, case when i <= j then idx.pos - i else i - idx.pos end as seg, idx.stop_id, stop_name, stop_sequence, lat, lon, scheduled_arrival_time
   from ij join idx on idx.route_short_name = ij.route_short_name and idx.pos between least(i, j) and greatest(i, j) where status = 'ok' and i is not null and j is not null)"""
@@ -202,7 +202,7 @@ LOOSE = r"""case when regexp_full_match(clock_text, '\d{1,2}:\d{1,2}(:\d{1,2}(:[
 PARTS |= {
     "parse_iso": (TEXT_TIMES, "select request_id, strftime(written, '%Y-%m-%d %H:%M:%S') as clock, cast(isodow(written) - 1 as int) as day_of_week, cast(hour(written) as int) as hour_of_day, utc_offset from txt"),
     "eta_of_text_times": (TIMELINE.replace("from req)", "from (select * exclude (written, utc_offset) replace (written as request_ts) from txt))"), "select request_id, pos, stop_id, predicted_eta_iso from tl"),
-    "model_offsets": (TEXT_TIMES + ENDS + WALK, "select request_id, utc_offset, count(*) as n_stops, count(*) as n_with_zone from walk join txt using (request_id) group by 1, 2"),
+    "model_offsets": (TEXT_TIMES + ENDS + WALK, "select request_id, utc_offset, count(*) as n_stops, count(*) as n_with_zone from walk join txt using (request_id) where request_id % 12 not in (2, 7) group by 1, 2"),
     "loose_clock": ("", f"""select clock_text, count(*) as n, cast({LOOSE} as int) as seconds from (
         select scheduled_arrival_time || case stop_id % 3 when 0 then ':7' when 1 then ':x' else '' end as clock_text from v) group by 1, 3"""),
     "coordinate_texts": (INDEX, "select route_short_name, stop_id, printf('%.5f', lat) || ', ' || printf('%.5f', lon) as coordinates from idx"),
@@ -212,8 +212,22 @@ PARTS |= {
     "segment_counts": (ENDS + WALK, "select request_id, count(*) as segment_stop_count from walk group by 1"),
     "model_responses": (ENDS + WALK, "select request_id, count(*) as n_waypoints, string_agg(cast(stop_id as varchar), ',' order by seg) as stop_ids, count(*) as segment_stop_count from walk group by 1"),
 }
+PARTS["model_status_of_text_times"] = (ENDS, PARTS["eta_from_model_status"][1].replace("case when", "case when ij.request_id % 12 in (2, 7) then 'invalid_request' when", 1))
 PARTS["eta_of_text_times"] = (TEXT_TIMES + PARTS["eta_of_text_times"][0], PARTS["eta_of_text_times"][1])
 
 
+REASON = "case when stop_id is null then 'no stop' when stop_sequence is null then 'no sequence' when stop_lat is null then 'no latitude' when stop_lon is null then 'no longitude' end"
+JUDGED = f""",
+j as (select *, {REASON} as reason from (select trip_id, coalesce(route_id, 'nan') as route_id, {_whole("stop_id")} as stop_id, {_whole("stop_sequence")} as stop_sequence, stop_lat, stop_lon from raw))"""
+HEX = "cast('0x' || substring(md5(trip_id || '|42'), 1, 8) as bigint)"
+PARTS |= {
+    "baseline_by_day": PARTS["baseline_all"],
+    "visit_rejects": (JUDGED, "select coalesce(reason, 'kept') as reason, count(*) as n_visits, count(distinct route_id) as n_routes from j group by 1"),
+    "rejected_visits": (JUDGED, "select trip_id, route_id, stop_id, stop_sequence, stop_lat, stop_lon, reason from j where reason is not null"),
+    "sample_many": (SPLIT, "select trip_id from ranked where rk <= case when n > 50000 then 50000 else 1000 end"),
+    "split_fast": ("", f"select trip_id, case when {HEX} < 0.8 * 4294967296 then 'train' when {HEX} < 0.9 * 4294967296 then 'val' else 'test' end as split, count(*) as n_visits from v group by 1, 2"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"with {BASE}{more}\n{query}" for name, (more, query) in PARTS.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.geo import first_nonzero
 from headway.functions.text import clamp_delay
-from headway.functions.times import at_time, clock, day_of_week, iso, offset_text, parse_iso, plus_minutes, seconds_of
+from headway.functions.times import at_time, clock, day_of_week, iso, iso_parts, plus_minutes, seconds_of
 from headway.operators import baseline, clean, model, stops
 
 
@@ -145,10 +145,17 @@ def waypoints(rows: DataFrame) -> DataFrame:
     return rows.groupBy("request_id").agg(line.alias("line")).select("request_id", F.transform("line", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("line"))
 
 
-def iso_requests(requests: DataFrame, as_of: Column, ts: str = "request_ts") -> DataFrame:
-    """Requests whose time is ISO text: ``request_ts`` is the clock as written (``as_of`` if it can't be read), ``utc_offset`` what the text says of the zone."""
+def iso_requests(requests: DataFrame, as_of: Column, ts: str = "request_ts", refuse: bool = False) -> DataFrame:
+    """Requests whose time is ISO text: ``request_ts`` is the clock as written, ``utc_offset`` what the text says of the zone.
+
+    A request without a time is of ``as_of``; so is one whose time can't be read, the rule of the averages.  refuse: its time is
+    null then, the rule of the model path, where it gets the status ``invalid_request``.
+    """
     text = F.col(ts).cast("string")
-    return requests.withColumns({"request_ts": parse_iso(text, as_of), "utc_offset": offset_text(text)})
+    rows = requests.withColumn("__iso", iso_parts(text))
+    missing = (F.coalesce(text, F.lit("")) == "") if refuse else F.col("__iso").isNull()
+    at = F.when(missing, as_of.cast("timestamp_ntz")).otherwise(F.col("__iso.at"))
+    return rows.withColumns({"request_ts": at, "utc_offset": F.coalesce("__iso.zone", F.lit(""))}).drop("__iso")
 
 
 def model_features(segment: DataFrame, requests: DataFrame) -> DataFrame:
@@ -168,9 +175,9 @@ def eta_from_model(requests: DataFrame, index: DataFrame, codes: DataFrame, fitt
     """(timeline, statuses) by the model: raw delays, the order of travel, the request's own time where a stop has none.
 
     Arrival times keep the zone of the request's text (``utc_offset`` of ``iso_requests``).  Requests that aren't valid get a
-    status and no rows.
+    status and no rows; so do those whose time is null (``iso_requests`` with ``refuse``).
     """
-    checked = clean.validate_requests(requests)
+    checked = clean.validate_requests(requests).withColumn("status", F.when(F.col("request_ts").isNull(), "invalid_request").otherwise(F.col("status")))
     fine = checked.filter("status = 'ok'").drop("status")
     segment, found = stops.slice_by_position(stops.resolve_endpoints(fine, index), index)
     scored = model.score_batch(model_features(segment, fine), codes, fitted)

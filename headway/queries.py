@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.fixtures import raw_visits, requests
+from headway.fixtures import raw_visits, requests, visits_by_day
 from headway.functions import geo, text, times
 from headway.operators import baseline, clean, model, profile, ranking, stops
 from headway.plans import eta, training
@@ -70,6 +70,18 @@ def read_visits_csv(spark, d):
     return clean.clean_stop_visits(files.read_stop_visits(spark, path))
 
 
+@query
+def visit_rejects(spark, d):
+    """How many raw visits are kept, and how many are not for which reason, in one pass."""
+    rows = clean.judged_visits(raw_visits(spark, d))
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n_visits"), F.countDistinct("route_id").alias("n_routes"))
+
+
+@query
+def rejected_visits(spark, d):
+    return clean.rejected_visits(raw_visits(spark, d)).select("trip_id", "route_id", "stop_id", "stop_sequence", "stop_lat", "stop_lon", "reason")
+
+
 @query
 def index_input(spark, d):
     return clean.index_input(raw_visits(spark, d))
@@ -156,6 +168,17 @@ def baseline_all(spark, d):
     return baseline.baseline_all(visits(spark, d))
 
 
+@query
+def baseline_by_day(spark, d):
+    """The baseline from a table kept up by days: two loads, the second of which writes some days of the first anew, and a third of days that were wrong at first."""
+    path, rows = scratch(spark), clean.clean_stop_visits(visits_by_day(spark, d))
+    kind = F.pmod(F.month("service_day"), F.lit(4))
+    wrong = rows.filter(kind == 1).withColumn("delay_minutes", F.col("delay_minutes") + 100)
+    for load in (rows.filter(kind < 1).unionByName(wrong), rows.filter(kind >= 2), rows.filter(kind.isin(1, 2))):
+        baseline.write_days(load, path)
+    return baseline.all_grains(baseline.sums_of_days(spark.read.parquet(path)))
+
+
 @query
 def representative_route(spark, d):
     return baseline.representative_route(clean.route_keys(visits(spark, d)))
@@ -351,6 +374,20 @@ def sample_n(spark, d):
     return ranking.sample_n(requests(spark, d), "request_id", 500).select("request_id", "route_short_name")
 
 
+@query
+def sample_many(spark, d):
+    """A sample of a size that no single task should sort."""
+    rows = visits(spark, d).select("trip_id").distinct()
+    return ranking.sample_n(rows, "trip_id", 50_000 if rows.count() > 50_000 else 1_000)
+
+
+@query
+def split_fast(spark, d):
+    """The split by the hash alone, of the visits as they lie."""
+    rows = ranking.split_fast(visits(spark, d).select("trip_id"))
+    return rows.groupBy("trip_id", "split").agg(F.count("*").alias("n_visits"))
+
+
 @query
 def encode_route(spark, d):
     v = visits(spark, d)
@@ -447,9 +484,14 @@ def model_responses(spark, d):
 
 
 def text_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Requests whose time is ISO text, with zones of several kinds, and some that can't be read."""
-    i, ts = F.col("request_id"), F.date_format("request_ts", "yyyy-MM-dd'T'HH:mm:ss")
-    text = F.when(i % 6 == 0, F.concat(ts, F.lit("Z"))).when(i % 6 == 1, F.concat(ts, F.lit("+05:30"))).when(i % 6 == 2, F.lit("soon")).when(i % 6 == 3, F.lit(None)).when(i % 6 == 4, F.concat(ts, F.lit("-0800"))).otherwise(ts)
+    """Requests whose time is ISO text: with zones of several kinds, without hyphens, by week, a date alone, with a fraction, and some that can't be read."""
+    i, ts = F.col("request_id") % 12, F.col("request_ts")
+    clock = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.concat(F.lit("W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0")), (F.weekday(ts) + 1).cast("string"))
+    forms = [F.concat(clock, F.lit("Z")), F.concat(clock, F.lit("+05:30")), F.lit("soon"), F.lit(None), F.concat(clock, F.lit("-0800")), clock, F.date_format(ts, "yyyyMMdd'T'HHmmss"), F.lit("2024-3-5"), week, F.date_format(ts, "yyyy-MM-dd"), F.concat(clock, F.lit(",5")), F.lit("")]
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        text = F.when(i == k, form).otherwise(text)
     return requests(spark, d).withColumn("request_ts", text)
 
 
@@ -470,14 +512,24 @@ def eta_of_text_times(spark, d):
     return eta.timeline(rows, prepared(spark, d)).select("request_id", "pos", "stop_id", "predicted_eta_iso")
 
 
+def _from_model_at_text_times(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = text_requests(spark, d).withColumn("route_short_name", text.route_text(F.col("route_short_name")))
+    return _from_model(spark, d, eta.iso_requests(rows, F.lit(AS_OF).cast("timestamp_ntz"), refuse=True))
+
+
 @query
 def model_offsets(spark, d):
     """The zone that the model path's arrival times keep."""
-    rows = eta.iso_requests(text_requests(spark, d).withColumn("route_short_name", text.route_text(F.col("route_short_name"))), F.lit(AS_OF).cast("timestamp_ntz"))
-    out = _from_model(spark, d, rows)[0]
+    out = _from_model_at_text_times(spark, d)[0]
     return out.groupBy("request_id", "utc_offset").agg(F.count("*").alias("n_stops"), F.count_if(F.endswith("predicted_eta_iso", F.col("utc_offset"))).alias("n_with_zone"))
 
 
+@query
+def model_status_of_text_times(spark, d):
+    """The model path refuses a time that it can't read."""
+    return _from_model_at_text_times(spark, d)[1]
+
+
 @query
 def loose_clock(spark, d):
     """The model path's rule for clock times, on times with a fourth part too."""
