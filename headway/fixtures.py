@@ -49,7 +49,7 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same visits with what tells when and which: the month stands for the day of service, to keep the number of partitions of the small tables low.
-DAYS = VISITS.replace("select cast(l_orderkey", "select cast(date_trunc('month', l_shipdate) as date) as service_day, cast(l_shipdate as timestamp) as seen_at,\n       concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as visit_id, cast(l_orderkey", 1)
+DAYS = VISITS.replace("select cast(l_orderkey", "select cast(date_trunc('month', l_shipdate) as date) as service_day, cast(l_shipdate as timestamp) as seen_at,\n       concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as visit_id, cast(l_orderkey", 1)
 
 
 def visits_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ def seconds_of(time: Column) -> Column:
 
 #: ISO 8601 as the ``fromisoformat`` of Python 3.11 reads it.  Groups: year, month, day; week's year, week, weekday; hour, minute, second, fraction; sign and
 #: hour, minute, second, fraction of the zone.  A date is written with hyphens or without, so is a time with colons; any one character lies between them.
-_CLOCK = r"(?:(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?|(\d\d)(?:(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?)"
+_CLOCK = r"(?:(\d\d)(?::(\d\d)(?::(\d\d))?)?(?:[.,](\d+))?|(\d\d)(?:(\d\d)(\d\d)?)?(?:[.,](\d+))?)"
 _DATE = r"(?:(\d{4})-(\d\d)-(\d\d)|(\d{4})(\d\d)(\d\d)|(\d{4})-W(\d\d)(?:-(\d)(?!\d))?|(\d{4})W(\d\d)(?:(\d)(?=(?:\d(?:\d\d)*)?(?:\D|$)))?)"
-ISO = rf"(?s)^{_DATE}(?:.(?:{_CLOCK}(?:(Z)|([+-]){_CLOCK})?)?)?$"
+ISO = rf"(?s)^{_DATE}(?:.{_CLOCK}(?:(Z)|([+-]){_CLOCK})?)?$"
 
 
 def iso_parts(text: Column) -> Column:

@@ -222,6 +222,8 @@ j as (select *, {REASON} as reason from (select trip_id, coalesce(route_id, 'nan
 HEX = "cast('0x' || substring(md5(trip_id || '|42'), 1, 8) as bigint)"
 PARTS |= {
     "baseline_by_day": PARTS["baseline_all"],
+    "streamed_sums": ("", "select route_id, route_short_name, stop_id, day_of_week, hour_of_day, sum(delay_minutes) as total, count(delay_minutes) as n, count(stop_id) as visits from v group by 1, 2, 3, 4, 5"),
+    "eta_from_streamed_visits": PARTS["eta_timeline"],
     "visit_rejects": (JUDGED, "select coalesce(reason, 'kept') as reason, count(*) as n_visits, count(distinct route_id) as n_routes from j group by 1"),
     "rejected_visits": (JUDGED, "select trip_id, route_id, stop_id, stop_sequence, stop_lat, stop_lon, reason from j where reason is not null"),
     "sample_many": (SPLIT, "select trip_id from ranked where rk <= case when n > 50000 then 50000 else 1000 end"),

@@ -554,3 +554,55 @@ def eta_request_stream(spark, d):
     rows.repartition(2).write.parquet(f"{out}/in")
     answer(read_requests(spark, f"{out}/in", rows.schema), prepared(spark, d), f"{out}/out", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/out").select(*eta.TIMELINE)
+
+
+def _streamed(spark: SparkSession, d: str, out: str) -> None:
+    """Visits arrive in files of about two years each, and the stream goes on where it stopped when one has come.
+
+    The last two days of a file come with the next one for a third of the visits, and a fifth of all come twice, half of these
+    with the next file.
+    """
+    from headway.streaming.visits import keep_sums, read_visits
+
+    rows, day = visits_by_day(spark, d), F.datediff("seen_at", F.lit("1992-01-01").cast("date"))
+    key = F.pmod(F.xxhash64("visit_id"), F.lit(30))
+    own, late = F.floor(day / 730), F.floor((day + 2) / 730) > F.floor(day / 730)
+    first = own + F.when(late & (key % 3 == 0), 1).otherwise(0)
+    again = rows.filter(key % 5 == 0).withColumn("file", own + F.when(late & (key % 2 == 0), 1).otherwise(F.when(late & (key % 3 == 0), 1).otherwise(0)))
+    both = rows.withColumn("file", first).unionByName(again)
+    both.repartition("file").write.partitionBy("file").parquet(f"{out}/all")
+    for (k,) in sorted(both.select("file").distinct().collect()):  # at most five
+        spark.read.schema(rows.schema).parquet(f"{out}/all/file={k}").write.mode("append").parquet(f"{out}/in")
+        keep_sums(read_visits(spark, f"{out}/in", rows.schema, 1000), f"{out}/sums", f"{out}/state", LATENESS).awaitTermination()
+
+
+LATENESS = "4 days"
+
+
+@query
+def streamed_sums(spark, d):
+    """Delay sums per slot from a stream of visits that come late, twice and out of order."""
+    from headway.streaming.visits import sums_at
+
+    out = scratch(spark)
+    _streamed(spark, d, out)
+    return sums_at(spark, f"{out}/sums")
+
+
+@query
+def eta_from_streamed_visits(spark, d):
+    """The request stream on the sums that the visit stream has kept up to date."""
+    from headway.streaming.requests import answer, read_requests
+    from headway.streaming.visits import sums_at
+
+    out, rows = scratch(spark), requests(spark, d)
+    _streamed(spark, d, out)
+    rows.repartition(2).write.parquet(f"{out}/requests")
+    stops.stop_catalogue(clean.route_keys(visits(spark, d))).write.parquet(f"{out}/catalogue")
+
+    def base() -> eta.Base:
+        sums = sums_at(spark, f"{out}/sums")
+        return eta.Base(sums, spark.read.parquet(f"{out}/catalogue"), baseline.representative_from_sums(sums))
+
+    answer(read_requests(spark, f"{out}/requests", rows.schema), base, f"{out}/answers", f"{out}/answer_state").awaitTermination()
+    return spark.read.parquet(f"{out}/answers").select(*eta.TIMELINE)

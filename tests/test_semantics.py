@@ -100,6 +100,26 @@ def test_iso_keeps_the_written_clock(spark, raw, want):
     assert value(spark, times.parse_iso(F.lit(raw).cast("string"), F.lit(NOW))) == want
 
 
+ISO_FORMS = """2024-03-05 20240305 2024-3-5 24-03-05 2024-13-05 2024-02-30 0000-01-01 2024-W10 2024W10 2024-W10-3 2024W103 2024-W103 2024-W54 2024-W53-1 2020-W53-7 2024-W00 2024-W10-8 2024-W10-0
+2024-03-05T08:09:10 2024-03-05_08:09 2024-03-05T08 20240305T080910 20240305T0809 2024-03-05T080910 20240305T08:09:10 2024-03-05T8:09 2024-03-05T08:9 2024-03-05T24:00:01 2024-03-05T08:60 2024-03-05T08:09:60
+2024-03-05T08:09:10.5 2024-03-05T08:09:10,123456789 2024-03-05T08:09.5 2024-03-05T08,25 2024-03-05T0809.5 2024-03-05T08:09:10.x 2024-03-05T08:09:10. 2024-03-05T080910.25 2024-03-05T08:0910 2024-03-05T0809:10
+2024-03-05T08:09:10Z 2024-03-05T08:09:10z 2024-03-05T08:09:10+05:30 2024-03-05T08:09:10-0530 2024-03-05T08+01 2024-03-05T08:09:10+05:30:15 2024-03-05T08:09:10-00:00 2024-03-05T08:09:10+24:00 2024-03-05T08:09:10+5:30
+2024-03-05T08:09:10+05:30:15.5 2024-03-05T08:09:10ZZ 2024-03-05T08:09:10Z+01:00 2024-W10-3T08:09 2024W103T0809 2024-W10T08 2024W10T08 2024-W10-10:30 2024-03-05x08:09 soon 2024 2024-03 202403 2024-03-05T 1 +2024-03-05""".split()
+
+
+def test_iso_forms_are_those_of_python(spark):
+    def python(text):
+        try:
+            t = dt.datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return t.replace(tzinfo=None), t.isoformat()[len(t.replace(tzinfo=None).isoformat()) :]
+
+    forms = [*ISO_FORMS, "", "2024-03-05 08:09", "2024-03-05  08:09", "2024-03-05\n08:09", " 2024-03-05", "2024-03-05 ", "2024-03-05é08:09"]
+    rows = spark.createDataFrame([(f,) for f in forms], "t string").select("t", times.iso_parts(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x and (r.x["at"], r.x.zone) for r in rows} == {f: python(f) for f in forms}
+
+
 def test_clamp_and_round_to_even(spark):
     assert [value(spark, text.clamp_delay(F.lit(x))) for x in (-3.0, 0.125, 0.375, 2.37)] == [0.0, 0.12, 0.38, 2.37]
 
