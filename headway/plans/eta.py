@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from headway.functions.geo import first_nonzero
 from headway.functions.text import clamp_delay
 from headway.functions.times import at_time, clock, day_of_week, iso, iso_parts, plus_minutes, seconds_of
-from headway.operators import baseline, clean, model, stops
+from headway.operators import baseline, clean, stops
 
 
 def keyed_requests(requests: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def model_due(request_ts: Column, scheduled: Column) -> Column:
     return F.coalesce(at_time(request_ts, seconds_of(clock(scheduled, strict=False))), request_ts)
 
 
-def eta_from_model(requests: DataFrame, index: DataFrame, codes: DataFrame, fitted: PipelineModel) -> tuple[DataFrame, DataFrame]:
-    """(timeline, statuses) by the model: raw delays, the order of travel, the request's own time where a stop has none.
+def eta_from_model(requests: DataFrame, index: DataFrame, delays: PipelineModel) -> tuple[DataFrame, DataFrame]:
+    """(timeline, statuses) by the model (``model.artefact``, or one loaded): raw delays, the order of travel, the request's own time where a stop has none.
 
     Arrival times keep the zone of the request's text (``utc_offset`` of ``iso_requests``).  Requests that aren't valid get a
     status and no rows; so do those whose time is null (``iso_requests`` with ``refuse``).
@@ -180,7 +180,7 @@ def eta_from_model(requests: DataFrame, index: DataFrame, codes: DataFrame, fitt
     checked = clean.validate_requests(requests).withColumn("status", F.when(F.col("request_ts").isNull(), "invalid_request").otherwise(F.col("status")))
     fine = checked.filter("status = 'ok'").drop("status")
     segment, found = stops.slice_by_position(stops.resolve_endpoints(fine, index), index)
-    scored = model.score_batch(model_features(segment, fine), codes, fitted)
+    scored = delays.transform(model_features(segment, fine))
     at = plus_minutes(model_due(F.col("request_ts"), F.col("scheduled_arrival_time")), F.col("prediction"))
     rows = scored.select("request_id", "seg", "stop_id", "stop_name", "stop_sequence", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"), "scheduled_arrival_time", F.col("prediction").alias("predicted_delay_minutes"), F.concat(iso(at), "utc_offset").alias("predicted_eta_iso"), "utc_offset")
     # A segment without a stop left: its request is known, but no row came of it.

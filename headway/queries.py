@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from headway.functions import geo, text, times
 from headway.operators import baseline, clean, model, profile, ranking, stops
 from headway.plans import eta, training
 from headway.sources import visits as files
+from headway.sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,16 +36,6 @@ def named_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).withColumn("route_short_name", text.route_text(F.col("route_short_name")))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; one of our own only in local mode, where there is but one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/{uuid.uuid4().hex}"
-
-
 def prepared(spark: SparkSession, sf_dir: str) -> eta.Base:
     """What answers need of the visits, written once, so that a plan with several uses doesn't read the visits again."""
     path = scratch(spark)
@@ -410,8 +399,8 @@ _TRAINED: dict[tuple, training.Trained] = {}
 
 
 def _trained(spark, d) -> training.Trained:
-    """Trained once for a session and a folder."""
-    key = (id(spark), d)
+    """Trained once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, d)
     if key not in _TRAINED:
         _TRAINED[key] = training.train_delay_model(visits(spark, d))
     return _TRAINED[key]
@@ -434,8 +423,7 @@ def feature_importance(spark, d):
 def score_batch(spark, d):
     fitted, path = _trained(spark, d), scratch(spark)
     model.save_model(fitted.best, fitted.codes, path)
-    best, codes = model.load_model(spark, path)
-    return model.score_batch(visits(spark, d), codes, best).select("trip_id", "stop_id", "stop_sequence", "prediction", "status")
+    return model.load_model(path).transform(visits(spark, d)).select("trip_id", "stop_id", "stop_sequence", "prediction", "status")
 
 
 @query
@@ -446,7 +434,7 @@ def score_status(spark, d):
 
 def _from_model(spark, d, rows=None) -> tuple[DataFrame, DataFrame]:
     fitted = _trained(spark, d)
-    return eta.eta_from_model(named_requests(spark, d) if rows is None else rows, by_name(spark, d), fitted.codes, fitted.best)
+    return eta.eta_from_model(named_requests(spark, d) if rows is None else rows, by_name(spark, d), model.artefact(fitted.best, fitted.codes))
 
 
 @query

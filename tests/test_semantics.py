@@ -1,12 +1,16 @@
 """The rules of the data model, each on rows made by hand."""
 
 import datetime as dt
+import random
+import re
+from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from headway.functions import geo, text, times
-from headway.operators import baseline, clean, model, profile, ranking, stops
+from headway.operators import baseline, boosting, clean, model, profile, ranking, stops
 from headway.plans import eta, training
 from headway.sources import visits as files
 
@@ -219,11 +223,36 @@ def test_training_beats_the_mean_and_survives_saving(spark, tmp_path):
     fitted = training.train_delay_model(v, trees=5, rounds=3)
     assert fitted.metrics["mae"] > 0
     model.save_model(fitted.best, fitted.codes, str(tmp_path / "m"))
-    best, codes = model.load_model(spark, str(tmp_path / "m"))
-    rows, status = eta.eta_from_model(named_requests(spark, "/root/testdata/sf0.001"), by_name(spark, "/root/testdata/sf0.001"), codes, best)
+    loaded = model.load_model(str(tmp_path / "m"))
+    rows, status = eta.eta_from_model(named_requests(spark, "/root/testdata/sf0.001"), by_name(spark, "/root/testdata/sf0.001"), loaded)
     assert rows.filter("predicted_delay_minutes is null").count() == 0
     assert status.filter("status = 'ok'").count() == rows.select("request_id").distinct().count()
-    assert model.feature_importance(spark, best).count() == 7
+    assert model.feature_importance(spark, loaded).count() == 7
+
+
+def test_boosted_trees_keep_to_their_columns(spark, tmp_path):
+    rng = random.Random(4)
+    names = ["a", "b", "c", "d", "e", "f", "g"]
+    rows = [tuple(rng.random() for _ in names) for _ in range(1500)]
+    rows = [(*r, 10 * r[0] + 5 * (r[1] > 0.5) + 3 * r[2] * r[3] + rng.random()) for r in rows]
+    table = spark.createDataFrame(rows, [*names, "y"])
+    fitted = boosting.fit(table.filter("g < 0.8"), names, "y", rounds=12, depth=3)
+    assert len({tuple(c) for c in fitted.columns}) > 1
+    for columns, tree in zip(fitted.columns, fitted.trees, strict=True):
+        assert len(columns) == 5 and set(map(int, re.findall(r"feature (\d+)", tree.toDebugString))) <= set(columns)
+    again = boosting.fit(table.filter("g < 0.8").repartition(7), names, "y", rounds=12, depth=3)
+    assert again.columns == fitted.columns
+    assert boosting.fit(table, names, "y", rounds=2, depth=3, seed=1).columns != fitted.columns[:2]
+    features = VectorAssembler(inputCols=names, outputCol="features").transform(table.filter("g >= 0.8"))
+    out = fitted.transform(features).select("y", "prediction", F.lit(fitted.start).alias("mean")).collect()
+    error = lambda c: sum((r.y - r[c]) ** 2 for r in out)
+    assert error("prediction") < 0.5 * error("mean")
+    assert fitted.featureImportances.toArray().sum() == pytest.approx(1) and fitted.featureImportances.toArray().argmax() == 0
+    fitted.write().overwrite().save(str(tmp_path / "trees"))
+    loaded = boosting.BoostedTrees.load(str(tmp_path / "trees"))
+    assert loaded.columns == fitted.columns
+    assert [r.prediction for r in loaded.transform(features).collect()] == [r.prediction for r in out]
+    assert boosting.fit(table.filter("false"), names, "y", rounds=0, depth=3).transform(features).first().prediction == 0.0
 
 
 def test_registered_models_train_with_all_trees_and_rounds(monkeypatch):
@@ -231,6 +260,7 @@ def test_registered_models_train_with_all_trees_and_rounds(monkeypatch):
 
     monkeypatch.setattr(queries, "visits", lambda spark, d: "visits")
     monkeypatch.setattr(training, "train_delay_model", lambda *a, **k: (a, k))
-    assert queries._trained(None, "") == (("visits",), {})
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none"))
+    assert queries._trained(session, "") == (("visits",), {})
     assert training.__dict__["model"].train_random_forest.__defaults__[0] == 30
     assert training.__dict__["model"].train_boosted_trees.__defaults__[0] == 50
