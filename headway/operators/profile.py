@@ -78,3 +78,51 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+def heavy_values(df: DataFrame, column: str, n: int = 5, width: int = 1 << 16) -> DataFrame:
+    """The rows of ``top_values``, counting few values where some are far more frequent than most.
+
+    Rows are counted by two hashes of the value first, ``2 * width`` counts whatever the number of values.  A value is at most as
+    frequent as either of its buckets, and the exact counts of the values in the heaviest buckets give n values that are at least
+    so frequent; so only values whose buckets both reach the least of these are counted and shuffled.  None can be missed: where
+    buckets tell nothing (many values, all about as frequent) all reach it, and this is ``top_values`` with two more passes.
+    """
+    spark = df.sparkSession
+    bucket = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(width)).cast("int")
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), bucket(k).alias("bucket")) for k in (0, 1)])))
+    totals = cells.groupBy("k", "bucket").agg(F.count("*").alias("n")).collect()  # at most 2 * width
+    heaviest = sorted((r for r in totals if r.k == 0), key=lambda r: (-r.n, r.bucket))[: 4 * n]
+    some = df.filter(bucket(0).isin([r.bucket for r in heaviest]))
+    sure = [r["count"] for r in top_values(some, column, n).collect()]
+    if len(sure) < n:
+        return top_values(df, column, n)
+    out = df
+    for k in (0, 1):
+        fine = [(r.bucket,) for r in totals if r.k == k and r.n >= sure[-1]]
+        out = out.join(F.broadcast(spark.createDataFrame(fine, "__bucket int")), bucket(k) == F.col("__bucket"), "left_semi")  # at most width
+    return top_values(out, column, n)
+
+
+def sketches(df: DataFrame, by: list[str], numbers: list[str], keys: list[str]) -> DataFrame:
+    """Per group of ``by``: a sketch of the quantiles of each number (``q_...``) and of the distinct values of each key (``d_...``).
+
+    A table of these is kept up by days or loads: sketches are small, and those of any groups merge to that of all their rows.
+    """
+    quantiles = [F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(800)).alias(f"q_{c}") for c in numbers]
+    distinct = [F.hll_sketch_agg(F.col(c), F.lit(14)).alias(f"d_{c}") for c in keys]
+    return df.groupBy(*by).agg(*quantiles, *distinct)
+
+
+def merged(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The sketches of larger groups, or of everything, from those of smaller ones."""
+    quantiles = [F.kll_merge_agg_double(F.col(c), F.lit(800)).alias(c) for c in rows.columns if c.startswith("q_")]
+    distinct = [F.hll_union_agg(c).alias(c) for c in rows.columns if c.startswith("d_")]
+    return rows.groupBy(*by).agg(*quantiles, *distinct)
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """What sketches say: ``c_q25, c_q50, c_q75`` of a number c, ``c_distinct`` of a key."""
+    quantile = lambda c: [F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)).alias(f"{c[2:]}_q{q * 100:.0f}") for q in (0.25, 0.5, 0.75)]
+    plain = [c for c in rows.columns if c[:2] not in ("q_", "d_")]
+    return rows.select(*plain, *[x for c in rows.columns if c.startswith("q_") for x in quantile(c)], *[F.hll_sketch_estimate(c).alias(f"{c[2:]}_distinct") for c in rows.columns if c.startswith("d_")])

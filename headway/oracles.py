@@ -224,6 +224,10 @@ PARTS |= {
     "baseline_by_day": PARTS["baseline_all"],
     "streamed_sums": ("", "select route_id, route_short_name, stop_id, day_of_week, hour_of_day, sum(delay_minutes) as total, count(delay_minutes) as n, count(stop_id) as visits from v group by 1, 2, 3, 4, 5"),
     "eta_from_streamed_visits": PARTS["eta_timeline"],
+    "heavy_trips": PARTS["top_trips"],
+    "heavy_stops": ("", "select scheduled_arrival_time, count(*) as count from v group by 1 order by 2 desc, 1 limit 20"),
+    "sketch_errors": ("", "select unnest(['stop_lat_q25', 'stop_lat_q50', 'stop_lat_q75', 'stop_lon_q25', 'stop_lon_q50', 'stop_lon_q75', 'delay_minutes_q25', 'delay_minutes_q50', 'delay_minutes_q75', 'stop_sequence_q25', 'stop_sequence_q50', 'stop_sequence_q75', 'trip_id']) as what, true as near"),
+    "filter_bucketed": PARTS["filter_by_ids"],
     "visit_rejects": (JUDGED, "select coalesce(reason, 'kept') as reason, count(*) as n_visits, count(distinct route_id) as n_routes from j group by 1"),
     "rejected_visits": (JUDGED, "select trip_id, route_id, stop_id, stop_sequence, stop_lat, stop_lon, reason from j where reason is not null"),
     "sample_many": (SPLIT, "select trip_id from ranked where rk <= case when n > 50000 then 50000 else 1000 end"),

@@ -127,6 +127,36 @@ def top_trips(spark, d):
     return profile.top_values(visits(spark, d), "trip_id")
 
 
+@query
+def heavy_trips(spark, d):
+    """The most frequent trips, found by counting buckets first."""
+    return profile.heavy_values(visits(spark, d), "trip_id")
+
+
+@query
+def heavy_stops(spark, d):
+    return profile.heavy_values(visits(spark, d), "scheduled_arrival_time", 20)
+
+
+@query
+def sketch_errors(spark, d):
+    """Sketches by months, stored, and merged to one: are their quartiles within a hundredth of the exact ranks, and their counts of trips within three hundredths?"""
+    path, rows = scratch(spark), clean.clean_stop_visits(visits_by_day(spark, d))
+    numbers = ["stop_lat", "stop_lon", "delay_minutes", "stop_sequence"]
+    for half in (0, 1):
+        profile.sketches(rows.filter(F.pmod(F.month("service_day"), F.lit(2)) == half), ["service_day"], numbers, ["trip_id"]).write.mode("append").parquet(path)
+    said = profile.sketched(profile.merged(spark.read.parquet(path)))
+    n = lambda c: F.greatest(F.count(c), F.lit(1))
+    near = []
+    for c in numbers:
+        for q in (25, 50, 75):
+            upto, below = F.count_if(F.col(c) <= F.col(f"{c}_q{q}")), F.count_if(F.col(c) < F.col(f"{c}_q{q}"))
+            near.append(((upto / n(c) >= q / 100 - 0.01) & (below / n(c) <= q / 100 + 0.01)).alias(f"{c}_q{q}"))
+    trips = F.first("trip_id_distinct") / F.greatest(F.count_distinct("trip_id"), F.lit(1))
+    one = rows.crossJoin(F.broadcast(said)).agg(*near, trips.between(0.97, 1.03).alias("trip_id"))  # one row of numbers
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("near")) for c in one.columns])))
+
+
 @query
 def head_visits(spark, d):
     return profile.head(visits(spark, d), ["trip_id", "stop_sequence", "stop_id", "scheduled_arrival_time", "delay_minutes"]).select("trip_id", "stop_sequence", "stop_id")
@@ -358,6 +388,14 @@ def filter_by_ids(spark, d):
     return clean.filter_by_ids(v, ranking.split_by_key(v).filter("split = 'test'")).groupBy("route_id").agg(F.count("*").alias("n_visits"), F.sum("delay_minutes").alias("total_delay"))
 
 
+@query
+def filter_bucketed(spark, d):
+    """The same from visits in buckets of the trip, which aren't moved."""
+    path = scratch(spark)
+    v = files.save_bucketed(visits(spark, d), f"visits_{path.rsplit('/', 1)[-1]}", path, buckets=8)
+    return clean.filter_by_ids(v, ranking.split_by_key(v).filter("split = 'test'")).groupBy("route_id").agg(F.count("*").alias("n_visits"), F.sum("delay_minutes").alias("total_delay"))
+
+
 @query
 def sample_n(spark, d):
     return ranking.sample_n(requests(spark, d), "request_id", 500).select("request_id", "route_short_name")

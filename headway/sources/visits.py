@@ -38,6 +38,15 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).partitionBy("split").csv(path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str = "trip_id", buckets: int = 64) -> DataFrame:
+    """Visits in buckets of a key, as a table: splits by that key, semi-joins and joins on it don't move them again.
+
+    buckets: choose them so that one fits an executor; a task reads one.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_route_index(index: DataFrame, path: str) -> None:
     """One JSON object per route and line."""
     index.write.mode("overwrite").json(path)

@@ -90,3 +90,41 @@ def test_rejects_and_kept_are_all(spark):
     got = {r.visit_id: r.reason for r in clean.judged_visits(raw).collect()}
     assert got == {"a": None, "b": "no stop", "c": "no stop", "d": "no latitude", "e": "no sequence"}
     assert clean.clean_stop_visits(raw).count() + clean.rejected_visits(raw).count() == raw.count()
+
+
+def test_heavy_values_count_few(spark):
+    from headway.operators import profile
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 3, F.concat(F.lit("hot"), (F.col("id") % 3).cast("string"))).otherwise(F.col("id").cast("string")).alias("x"))
+    assert profile.heavy_values(df, "x", 3, 1024).collect() == profile.top_values(df, "x", 3).collect()
+    assert profile.heavy_values(df, "x", 9, 1024).collect() == profile.top_values(df, "x", 9).collect()  # the rest are equally rare
+    assert profile.heavy_values(df.filter("x = 'hot1'"), "x", 3).collect() == profile.top_values(df.filter("x = 'hot1'"), "x", 3).collect()
+    assert profile.heavy_values(df.filter("false"), "x", 3).count() == 0
+    nulls = spark.createDataFrame([(None,)] * 5 + [("a",)] * 3 + [("b",)] * 3, "x string")
+    assert profile.heavy_values(nulls, "x", 2).collect() == profile.top_values(nulls, "x", 2).collect()
+
+
+def test_sketches_merge(spark):
+    from headway.operators import profile
+
+    df = spark.range(50_000).selectExpr("id % 7 as day", "cast(id as double) as x", "id % 1000 as k")
+    said = profile.sketched(profile.merged(profile.sketches(df, ["day"], ["x"], ["k"]))).first()
+    assert [abs(said[f"x_q{q}"] / 50_000 - q / 100) < 0.01 for q in (25, 50, 75)] == [True] * 3 and abs(said.k_distinct / 1000 - 1) < 0.03
+    some = profile.sketched(profile.merged(profile.sketches(df, ["day"], ["x"], ["k"]), ["day"]))
+    assert some.count() == 7
+
+
+def test_bucketed_visits_are_not_moved(spark, tmp_path):
+    from headway.sources import visits as files
+
+    rows = clean.clean_stop_visits(spark.createDataFrame([visit(str(i), 1 + i % 28) for i in range(200)], RAW)).withColumn("trip_id", F.col("visit_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        v = files.save_bucketed(rows, "visits_in_buckets", str(tmp_path / "b"), buckets=4)
+        out = clean.filter_by_ids(v, ranking.split_by_key(v).filter("split = 'test'"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        left = plan[: plan.index("Scan parquet")]  # from the join down to the scan of the visits, which come first
+        assert "SortMergeJoin" in left and "Exchange" not in left
+        assert out.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
