@@ -371,6 +371,26 @@ def test_shingles_keep_one(spark, small, monkeypatch, small_cell, block):
     assert shingles.keep_one(table.filter("false")).count() == 0
 
 
+def test_shingles_few_rows_of_a_group_with_a_stranger(spark):
+    """5,000 nodes of one root and a stranger: every node meets the stranger, and the rows are a few times the nodes."""
+    large = spark.range(5001).select(F.lit(7).cast("long").alias("cell"), F.col("id").alias("node"), F.when(F.col("id") == 4000, 4000).otherwise(0).cast("long").alias("root"))
+    two = spark.range(300).select(F.lit(8).cast("long").alias("cell"), F.col("id").alias("node"), (F.col("id") % 150).alias("root"))  # many small roots
+    same = spark.range(900).select(F.lit(9).cast("long").alias("cell"), F.col("id").alias("node"), F.lit(1).cast("long").alias("root"))
+    work = shingles.dealt(large.unionByName(two).unionByName(same), 128).collect()
+    assert {r.cell for r in work} == {7, 8}
+    mine = [r for r in work if r.cell == 7]
+    assert len(mine) < 20_000
+    for cell, nodes, root in ((7, range(5001), lambda n: 4000 if n == 4000 else 0), (8, range(300), lambda n: n % 150)):
+        blocks = {}
+        for r in work:
+            if r.cell == cell:
+                blocks.setdefault((r.i, r.j), {}).setdefault(r.block, []).append(r.node)
+        met = set()
+        for (i, j), sides in blocks.items():
+            met |= {(a, b) for a in sides[i] for b in sides[j] if root(a) != root(b)}
+        assert all((a, b) in met or (b, a) in met for a in nodes for b in ([4000] if cell == 7 else nodes) if root(a) != root(b))
+
+
 # Components
 
 
