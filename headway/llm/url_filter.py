@@ -11,9 +11,10 @@ positives.  A key belongs to the class of the first level that rejects it, so ro
 no shuffle, and no rule leaves the filters.  Building reads the URLs once per level and tests before it makes keys
 distinct (few pass).
 
-A filter is a binary literal of the plan with a byte per position, so that a slice and a comparison test it.  Rules are
-dealt by hash to parts whose filters hold at most ``MAX_BYTES``, whatever the length of the list; each part has its own
-cascades and its own pass over the table, which carries the best rule found so far.
+A filter is a binary literal of the plan with a byte per position, so that a slice and a comparison test it.  Keys are dealt by
+hash to parts, rules and universe alike, and no filter of any level holds more than ``MAX_BYTES``, whatever the length of the
+list and the size of the corpus: where one would, all is dealt to twice as many parts.  Each part has its own cascades and its own
+pass over the table, which carries the best rule found so far.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and fits no rule; the default verdict is
 ``allow``; a key listed under both verdicts blocks; null rules and other verdicts are ignored; no rules allow all; URLs of
@@ -30,10 +31,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, scope
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-BITS_PER_KEY, HASHES, MAX_BYTES, MAX_LEVELS = 16, 6, 1 << 25, 64
+BITS_PER_KEY, HASHES, MAX_BYTES, MAX_LEVELS, MAX_PARTS = 16, 6, 1 << 25, 64, 1 << 16
+
+
+class FilterTooLarge(Exception):
+    """A level would hold more than its bound."""
 
 
 @dataclass(frozen=True)
@@ -88,15 +93,22 @@ def bloom(keys: DataFrame, number: int, bits_per_key: int, hashes: int, most: in
     return Level(number, bytes(filled), hashes)
 
 
-def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> list[Level]:
-    """The cascade that is exact for the keys of ``universe``; both have a column ``key``.  Empty if nothing is listed."""
+def _bounded(keys: DataFrame, number: int, bits_per_key: int, hashes: int, max_bytes: int) -> Level | None:
+    """``bloom``, if it holds at most so many bytes; checked before it is made."""
+    if (n := keys.count()) and 64 * -(-n * bits_per_key // 64) > max(max_bytes, 64):
+        raise FilterTooLarge
+    return bloom(keys, number, bits_per_key, hashes) if n else None
+
+
+def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES, max_bytes: int = MAX_BYTES) -> list[Level]:
+    """The cascade that is exact for the keys of ``universe``; both have a column ``key``.  Empty if nothing is listed.  Raises ``FilterTooLarge``."""
     inside = listed.filter("key is not null").distinct()
-    if not (level := bloom(inside, 0, bits_per_key, hashes)):
+    if not (level := _bounded(inside, 0, bits_per_key, hashes, max_bytes)):
         return []
     levels = [level]
     outside = cut(universe.filter(level.holds(F.col("key"))).distinct().join(inside, "key", "left_anti"))
     here, there = outside, inside
-    while level := bloom(here, len(levels), bits_per_key, hashes):
+    while level := _bounded(here, len(levels), bits_per_key, hashes, max_bytes):
         levels.append(level)
         if len(levels) > MAX_LEVELS:
             raise ValueError("the cascade doesn't end: more bits a key are needed")
@@ -135,7 +147,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_ke
     shapes = sorted((r.n, r.m) for r in found)
     if not shapes:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    parts = -(-rules.count() * bits_per_key // max_bytes)
+    parts = max(1, -(-rules.count() * bits_per_key // max_bytes))
+    while True:
+        try:
+            with scope():
+                return _by_parts(rows, rules, shapes, parts, bits_per_key, hashes, max_bytes)
+        except FilterTooLarge:
+            parts *= 2
+            if parts > MAX_PARTS:
+                raise
+
+
+def _by_parts(rows: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]], parts: int, bits_per_key: int, hashes: int, max_bytes: int) -> DataFrame:
     part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
     best = F.lit(None)
     for part in range(parts):
@@ -143,9 +166,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", bits_per_ke
         keys = candidates(F.col("host"), F.col("path"), shapes)
         keys = F.filter(keys, _in_part(part_of, part)) if parts > 1 else keys
         universe = rows.select(F.explode(keys).alias("k")).select("k.key")
-        block, allow = (build(mine.filter(F.col("verdict") == v).select("key"), universe, bits_per_key, hashes) for v in ("block", "allow"))
+        block, allow = (build(mine.filter(F.col("verdict") == v).select("key"), universe, bits_per_key, hashes, max_bytes) for v in ("block", "allow"))
         hit = F.array_max(F.filter(F.transform(keys, _judged(block, allow)), lambda k: k["block"] | k["allow"]))
         rows = rows.withColumn("__best", F.greatest(best, hit) if part else hit)
-        rows = cut(rows) if part + 1 < parts else rows
+        rows = cut(rows, keep=True) if part + 1 < parts else rows
         best = F.col("__best")
     return rows.withColumns({"rule": best["key"], "verdict": F.when(best["block"], "block").otherwise("allow")}).drop("__best")

@@ -195,6 +195,21 @@ def test_url_levels_and_parts(spark):
     assert url_filter.judge_urls(pages, url_filter.rule_table(spark).filter("false")).filter("verdict = 'allow'").count() == len(urls)
 
 
+def test_url_filters_keep_their_bound_at_every_level(spark, monkeypatch):
+    """Few rules and a corpus whose false positives would fill more than the bound: dealt to more parts, with the same verdicts."""
+    rows = [(i, f"http://h{i}.example{i % 50}.com/p{i % 40}/x{i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = url_filter.rule_table(spark, [(f"example{k}.com/p{k}/", "block") for k in range(40)] + [("com/p3/", "allow"), ("example7.com/", "block")])
+    sizes, plain = [], url_filter.Level
+    monkeypatch.setattr(url_filter, "Level", lambda number, bits, hashes: sizes.append((number, len(bits))) or plain(number, bits, hashes))
+    want = sorted(map(tuple, url_filter.judge_urls(pages, rules, bits_per_key=2, hashes=1).select("page_id", "rule", "verdict").collect()), key=str)
+    assert max(n for level, n in sizes if level) > 128  # beyond the bound that is set below
+    sizes.clear()
+    got = url_filter.judge_urls(pages, rules, bits_per_key=2, hashes=1, max_bytes=128).select("page_id", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == want and any(r.verdict == "block" for r in got)
+    assert max(n for _, n in sizes) <= 128
+
+
 def test_url_long_lists_and_many_shapes(spark):
     """200,000 rules of more than 2,000 shapes go through the cascade."""
     i = F.col("id")
