@@ -33,8 +33,12 @@ ISO = rf"(?s)^{_DATE}(?:.{_CLOCK}(?:(Z)|([+-]){_CLOCK})?)?$"
 
 def iso_parts(text: Column) -> Column:
     """A struct (at, zone) of an ISO text: the wall clock as written and what it says of the zone (``+hh:mm``, or empty); null where it isn't one."""
-    text = text.cast("string")
-    found = F.split(F.regexp_replace(text, ISO, "|".join(f"${i}" for i in range(1, 31))), r"\|")
+    fields = F.when(F.regexp_like(text.cast("string"), F.lit(ISO)), F.split(F.regexp_replace(text.cast("string"), ISO, "|".join(f"${i}" for i in range(1, 31))), r"\|"))
+    # As the variable of a function the fields are made once, not anew for each use.
+    return F.get(F.transform(F.array(fields), _iso_of), F.lit(0))
+
+
+def _iso_of(found: Column) -> Column:
     group = lambda *at: F.coalesce(*[F.nullif(F.get(found, F.lit(i - 1)), F.lit("")) for i in at])
     number = lambda *at: F.coalesce(group(*at).try_cast("int"), F.lit(0))
     micros = lambda *at: F.coalesce(F.rpad(F.substring(group(*at), 1, 6), 6, "0").try_cast("int"), F.lit(0))
@@ -47,7 +51,7 @@ def iso_parts(text: Column) -> Column:
     date = F.coalesce(F.when(group(1, 4) != "0000", by_month), by_week)
     h, m, s, us = number(13, 17), number(14, 18), number(15, 19), micros(16, 20)
     zh, zm, zs, zus = number(23, 27), number(24, 28), number(25, 29), micros(26, 30)
-    fine = F.regexp_like(text, F.lit(ISO)) & (h < 24) & (m < 60) & (s < 60) & (zh < 24) & (zm < 60) & (zs < 60) & date.isNotNull()
+    fine = found.isNotNull() & (h < 24) & (m < 60) & (s < 60) & (zh < 24) & (zm < 60) & (zs < 60) & date.isNotNull()
     interval = F.make_dt_interval(F.lit(0), h, m, (s + us / F.lit(1e6)).cast("decimal(18,6)"))
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     tail = F.when((zs > 0) | (zus > 0), F.concat(F.lit(":"), two(zs), F.when(zus > 0, F.concat(F.lit("."), F.lpad(zus.cast("string"), 6, "0"))).otherwise(""))).otherwise("")
