@@ -88,22 +88,40 @@ def nearest_stop(points: DataFrame, index: DataFrame, key: str, lat: str, lon: s
     return pairs.groupBy(key).agg(F.min_by("stop_id", F.struct("d", "pos")).alias("stop_id"), F.min("d").alias("distance_km"))
 
 
-def slice_by_stop_ids(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+#: Places of a route in one bin of a range join.
+BIN = 8
+
+
+def rows_between(asked: DataFrame, rows: DataFrame, key: str, at: str, low: Column, high: Column, width: int = BIN) -> DataFrame:
+    """The range join of ``asked`` with the ``rows`` of the same key whose place ``at`` lies between low and high.
+
+    Both sides are dealt to bins of places, an asked row to all that it covers, so it meets the rows of its range and of the bins
+    at its ends, however many its key has; and a key that many ask for is dealt by its bins.  Places are whole numbers without
+    large gaps.
+    """
+    binned = asked.withColumn("__bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    return binned.join(rows.withColumn("__bin", F.floor(F.col(at) / width)), [key, "__bin"]).filter(F.col(at).between(low, high)).drop("__bin")
+
+
+def slice_by_stop_ids(requests: DataFrame, catalogue: DataFrame, width: int = BIN) -> DataFrame:
     """Catalogue rows of each request's segment.
 
     Bounds are the endpoints' first sequences, swapped if reversed; one bound leaves the other side open; an endpoint
     that isn't on the route, or none, gives the whole route.  requests: ``request_id, route_key, from_stop_id, to_stop_id``.
     """
-    seq = first_sequence(catalogue)
-    end = lambda side: seq.select("route_key", F.col("stop_id").alias(f"{side}_stop_id"), F.col("first_sequence").alias(f"{side}_seq"))
-    out = requests.join(end("from"), ["route_key", "from_stop_id"], "left").join(end("to"), ["route_key", "to_stop_id"], "left")
-    a, b = F.col("from_seq"), F.col("to_seq")
+    # Sequences are numbered without gaps within a route, which has as many rows here as it has stops and sequences.
+    placed = catalogue.withColumn("__place", F.dense_rank().over(Window.partitionBy("route_key").orderBy("stop_sequence")))
+    first = placed.groupBy("route_key", "stop_id").agg(F.min("__place").alias("place"))
+    last = placed.groupBy("route_key").agg(F.max("__place").alias("__last"))
+    end = lambda side: first.select("route_key", F.col("stop_id").alias(f"{side}_stop_id"), F.col("place").alias(f"__{side}"))
+    out = requests.join(last, "route_key").join(end("from"), ["route_key", "from_stop_id"], "left").join(end("to"), ["route_key", "to_stop_id"], "left")
+    a, b = F.col("__from"), F.col("__to")
     lost = (F.col("from_stop_id").isNotNull() & a.isNull()) | (F.col("to_stop_id").isNotNull() & b.isNull())
     both = a.isNotNull() & b.isNotNull()
     low = F.when(lost, None).when(both, F.least(a, b)).otherwise(a)
     high = F.when(lost, None).when(both, F.greatest(a, b)).otherwise(b)
-    bounded = out.withColumns({"lo": F.coalesce(low, F.lit(-(1 << 63))), "hi": F.coalesce(high, F.lit((1 << 63) - 1))}).drop("from_seq", "to_seq")
-    return bounded.join(catalogue, "route_key").filter(F.col("stop_sequence").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    bounded = out.withColumns({"__low": F.coalesce(low, F.lit(1)), "__high": F.coalesce(high, "__last")}).drop("__from", "__to", "__last")
+    return rows_between(bounded, placed, "route_key", "__place", F.col("__low"), F.col("__high"), width).drop("__low", "__high", "__place")
 
 
 def resolve_endpoints(requests: DataFrame, index: DataFrame) -> DataFrame:
@@ -117,7 +135,7 @@ def resolve_endpoints(requests: DataFrame, index: DataFrame) -> DataFrame:
     return rows.withColumns(ids).withColumn("status", status).select("request_id", "route_short_name", "from_id", "to_id", "status")
 
 
-def slice_by_position(resolved: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+def slice_by_position(resolved: DataFrame, index: DataFrame, width: int = BIN) -> tuple[DataFrame, DataFrame]:
     """(segment rows, statuses).  Positions run from each end's first place; reversed travel reverses the order (``seg`` from 0)."""
     place = index.groupBy("route_short_name", "stop_id").agg(F.min("pos").alias("at"))
     end = lambda side: place.select("route_short_name", F.col("stop_id").alias(f"{side}_id"), F.col("at").alias(f"{side}_at"))
@@ -125,6 +143,6 @@ def slice_by_position(resolved: DataFrame, index: DataFrame) -> tuple[DataFrame,
     i, j = F.col("from_at"), F.col("to_at")
     status = F.when(F.col("status") != "ok", F.col("status")).when(i.isNull() | j.isNull(), "stop_not_on_route").otherwise("ok")
     out = out.withColumn("status", status)
-    rows = out.filter("status = 'ok'").join(index, "route_short_name").filter(F.col("pos").between(F.least(i, j), F.greatest(i, j)))
+    rows = rows_between(out.filter("status = 'ok'"), index, "route_short_name", "pos", F.least(i, j), F.greatest(i, j), width)
     seg = F.when(i <= j, F.col("pos") - i).otherwise(i - F.col("pos"))
     return rows.withColumn("seg", seg).drop("from_at", "to_at", "status"), out.select("request_id", "status")

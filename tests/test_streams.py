@@ -128,3 +128,16 @@ def test_bucketed_visits_are_not_moved(spark, tmp_path):
         assert out.count() == 20
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_range_join_meets_about_its_result(spark):
+    from headway.operators import stops
+
+    route = spark.range(4000).select(F.lit("hot").alias("route_short_name"), F.col("id").alias("pos"), F.col("id").alias("stop_id"))
+    asked = spark.range(200).select(F.lit("hot").alias("route_short_name"), (F.col("id") * 17).alias("a"), (F.col("id") * 17 + F.col("id") % 9).alias("b"))
+    low, high = F.col("a"), F.col("b")
+    got = stops.rows_between(asked, route, "route_short_name", "pos", low, high)
+    assert got.count() == sum(min(i * 17 + i % 9, 3999) - i * 17 + 1 for i in range(200))
+    assert {(r.a, r.pos) for r in got.collect()} == {(i * 17, p) for i in range(200) for p in range(i * 17, i * 17 + i % 9 + 1) if p < 4000}
+    met = asked.withColumn("bin", F.explode(F.sequence(F.floor(low / stops.BIN), F.floor(high / stops.BIN)))).count() * stops.BIN
+    assert met < 200 * 3 * stops.BIN  # and not 200 * 4000
