@@ -188,7 +188,8 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
     """Fit a field to labelled documents: words from all of them, weights from the toxic and the first ``clean_most`` clean ones, the calibration from all."""
     first = dict(zip(texts, toxic, strict=True))  # equal texts count once
     texts, toxic = list(first), list(first.values())
-    tokens = list(map(tokens_of, texts))
+    shared: dict[str, str] = {}  # one object for each different word: the driver holds thousands of documents
+    tokens = [[shared.setdefault(w, w) for w in tokens_of(t)] for t in texts]
     keep = [i for i, t in enumerate(tokens) if t]
     tokens, toxic = [tokens[i] for i in keep], [toxic[i] for i in keep]
     bad_texts = [w for w, y in zip(tokens, toxic, strict=True) if y]
@@ -206,6 +207,7 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
     size = len(model.words) + 1
     ids = [np.array([[model.words.get(w, 0) for w in words], *[[model.words.get("^" + w[:k], 0) if len(w) >= k else 0 for w in words] for k in STEMS]], np.int32) for words in tokens]
     gold = [np.array([y and not bad.isdisjoint(_features([w])) for w in words], np.float64) for words, y in zip(tokens, toxic, strict=True)]
+    del tokens, bad_texts, alone, clean, seen, shared
     every, least = ids, np.cumsum(np.array(toxic) == 0)
     some = [i for i, y in enumerate(toxic) if y or least[i] <= clean_most]
     ids, gold = [ids[i] for i in some], [gold[i] for i in some]
@@ -232,7 +234,7 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: in
         model.bias += 0.5 * g_bias / math.sqrt(square[2])
     model.emit[np.abs(model.emit) < 1e-3] = 0
     model.trained = True
-    x = np.array([model.strength(p) for p, _ in model._run(every)])
+    x = np.array([model.strength(p) for at in range(0, len(every), 500) for p in model.marginals(every[at : at + 500])])
     model.slope, model.shift = calibrate(x, np.array(toxic, float))
     return model
 
