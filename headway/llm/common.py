@@ -70,8 +70,8 @@ def scope() -> Iterator[None]:
 def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is, or seems to be, in ``keys``, by a Bloom filter: so a join on few keys shuffles few rows.
 
-    The filter has a byte for each position and at most 8 MB, whatever the number of keys; with very many it only lets
-    more pass.
+    The filter has a bit for each of at most 2^23 positions, so 1 MB of the plan, whatever the number of keys; with very
+    many it only lets more pass.
     """
     from .url_filter import bloom
 

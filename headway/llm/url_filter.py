@@ -11,8 +11,8 @@ positives.  A key belongs to the class of the first level that rejects it, so ro
 no shuffle, and no rule leaves the filters.  Building reads the URLs once per level and tests before it makes keys
 distinct (few pass).
 
-A filter is a binary literal of the plan with a byte per position, so that a slice and a comparison test it.  Keys are dealt by
-hash to parts, rules and universe alike, and no filter of any level holds more than ``MAX_BYTES``, whatever the length of the
+A filter is a binary literal of the plan with a bit per position (the driver's copy has a byte).  Keys are dealt by hash to
+parts, rules and universe alike, and no driver's copy of any level holds more than ``MAX_BYTES``, whatever the length of the
 list and the size of the corpus: where one would, all is dealt to twice as many parts.  Each part has its own cascades and its own
 pass over the table, which carries the best rule found so far.
 
@@ -28,6 +28,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +44,18 @@ class FilterTooLarge(Exception):
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: a byte for each position, and its number in the cascade, which seeds the hashes."""
+    """A Bloom filter: a byte (0 or 1) for each position, and its number in the cascade, which seeds the hashes."""
 
     number: int
     bits: bytes
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        yes, bits = F.lit(True), F.lit(bytearray(self.bits))
+        packed = np.packbits(np.frombuffer(self.bits, np.uint8), bitorder="little").tobytes()
+        yes, bits = F.lit(True), F.lit(bytearray(packed))
         for at in _positions(key, self.number, len(self.bits), self.hashes):
-            yes = yes & (F.substring(bits, at + 1, F.lit(1)) == F.lit(bytearray(b"\1")))
+            eight = F.ascii(F.decode(F.substring(bits, F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
+            yes = yes & (F.getbit(eight, F.pmod(at, F.lit(8))) == 1)
         return yes
 
 
