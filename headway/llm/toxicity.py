@@ -14,7 +14,7 @@ that share most of their words.  All other tokens are clean.  The field is then
 The classifier is fitted on a bounded sample: at most ``SAMPLE`` toxic and ``CLEAN`` clean documents, the first ones in order
 of a hash of their ids, with at most ``SAMPLE_CHARS`` characters each (longer ones aren't chosen).  The words are counted in all of
 these, as are the documents' strengths for the calibration; the gradients take the first ``SAMPLE`` clean ones.  Its weights,
-at most ``FEATURES`` words and stems, are all that travels to the executors.
+at most ``FEATURES`` words and stems, are all that travels: a task fits them, so texts don't reach the driver.
 
 Edge cases: a null or empty text has no tokens and gets the lowest score; labels repeated for a document count once, the
 higher one wins; null labels are ignored; without labelled documents of both classes every score is 0; texts of any length
@@ -25,6 +25,7 @@ or ``spans`` are replaced.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,11 +246,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fine = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars))
     known = fine.select("doc_id").join(marks, "doc_id")  # ids alone are shuffled, and the sample's broadcast
-    rows = []
+    parts = []
     for y, most in ((0, clean), (1, sample)):
         chosen = known.filter(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += [(r.text, y) for r in fine.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
-    return fit([t for t, _ in rows], [y for _, y in rows], clean_most=sample)
+        mine = fine.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+        parts.append(mine.select(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(y).alias("toxic")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((y, h, i, t) for f in frames for y, h, i, t in zip(f["toxic"].tolist(), f["hash"].tolist(), f["doc_id"], f["text"], strict=True))
+        model = fit([r[3] for r in rows], [r[0] for r in rows], clean_most=sample)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # One task: its input is the sample, whose bounds are given above, and it is started again if its executor is lost.
+    fitted = parts[0].unionAll(parts[1]).coalesce(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else Field()
 
 
 def score(docs: DataFrame, model: Field, text: str = "text", lanes: int = 1000) -> DataFrame:
