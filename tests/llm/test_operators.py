@@ -750,6 +750,36 @@ def test_tables_hold_every_row(spark, small, odd):
         assert (table == lm_scoring.log_odds(counts)).all()
 
 
+def test_starting_weights_are_learned_from_all_rows(spark, small):
+    """Also from those beyond the first few hundred and the long ones, each against the tables of the other half."""
+    long = " ".join(d.text for d in small.orderBy("doc_id").limit(60).collect())
+    assert len(long) > 80_000
+    rows = [(i, f"text {i} of many that are short {i * i}") for i in range(700)] + [(900, long), (901, long[::-1]), (1000, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(small.select("doc_id", "text"))
+    dealt = [((r.text or "").encode(), r.half, r.share) for r in lm_scoring.dealt(docs).collect()]
+    assert len(dealt) == docs.count() and {h for _, h, _ in dealt} == {0, 1} and {s for *_, s in dealt} == set(range(sum(lm_scoring.SHARES)))
+    data = np.frombuffer(b"\0".join([b"", *[t + b"\xff" for t, *_ in dealt]]), np.uint8)
+    pairs = np.bincount(256 * data[:-1].astype(int) + data[1:], minlength=1 << 16).reshape(256, 256)
+    code, tables = lm_scoring.codes(pairs), []
+    for half in (0, 1):
+        slots = lm_scoring.Slots(code)
+        slots.add([t for t, h, _ in dealt if h == half])
+        slots.flush()
+        tables.append(slots.counts)
+    weights = np.full((lm_scoring.GATES, lm_scoring.INPUTS), 0.3 / lm_scoring.UNIT)
+    first = 0
+    for n, size in enumerate(lm_scoring.SHARES):
+        ends, sizes = [], []
+        for half in (0, 1):
+            texts = [t for t, h, s in dealt if h == half and first <= s < first + size]
+            ends += list(lm_scoring.mixer_of(code, tables[1 - half], weights).bits(texts, 0.02 / (1 + n / 2))[1])
+            sizes += [len(t) + 1 for t in texts]
+        weights, first = np.average(ends, axis=0, weights=sizes), first + size
+    got = lm_scoring.train(docs, pairs).weights
+    assert np.abs(got - weights).max() * lm_scoring.UNIT < 1e-3
+    assert np.abs(got * lm_scoring.UNIT - 0.3).max() > 0.05
+
+
 def slow_spans(text, every):
     """(the three words, span) of each anchor."""
     ends, words = [], []
