@@ -1,13 +1,15 @@
 """Near-duplicates by the Jaccard similarity of word shingles, exactly checked.
 
 A text's shingles are those of ``simhash`` (same word rule), of ``SHINGLE`` words.  Two texts are linked if their sets of
-shingles have a similarity of at least ``SIMILARITY``.  SimHash fingerprints of such texts differ in up to 13 of 64 bits and
-more, for which no grid of ``simhash`` is selective (16 axes leave 3 to agree, 560 cells a point), so candidates come
-from MinHash: ``BANDS`` bands of ``ROWS`` minima.  A pair at 0.8 shares no band with a probability of 3 in a million.
+shingles have a similarity of at least ``SIMILARITY``.  Candidates come from SimHash first: the fingerprints of the sets go through
+the range join of ``simhash`` (segment bit counts, cells of agreeing axes, Manhattan bound, exact distance), and what it links
+within ``DISTANCE`` bits is compared.  Fingerprints of texts at 0.8 differ in up to 13 of 64 bits and more, for which no grid is
+selective (16 axes leave 3 to agree, 560 cells a point), so the pairs beyond that radius come from MinHash: ``BANDS`` bands
+of ``ROWS`` minima.  A pair at 0.8 shares no band with a probability of 3 in a million.
 
 Texts with the same set (by a 64-bit hash of it) are one node, whatever the number of copies.  Nodes that share a band are
 a cell.  Cells of at most ``SMALL`` nodes give all their pairs; in larger ones each node is first compared with the
-smallest.  The pairs of the first ``EARLY`` bands are compared first; of the others only those that these haven't joined yet,
+smallest.  The pairs by fingerprint and those of the first ``EARLY`` bands are compared first; of the others only those that these haven't joined yet,
 so a family of near copies doesn't meet in every band again.  If a larger cell isn't one component by then, its nodes are cut by hash into blocks of about ``BLOCK``, and each
 pair of blocks is one bounded piece of work, which compares all nodes not yet known to be connected and returns only
 links that join something new.  So dense groups don't become all their pairs, and no pair of a cell is left out.
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scope, sifted
+from .common import cut, scope, sifted, without
 from .components import components
-from .simhash import SEED, chosen_rows, first_rows, shingle_hashes
+from .simhash import DISTANCE, SEED, chosen_rows, fingerprint_of, first_rows, shingle_hashes
+from .simhash import links as fingerprint_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS, EARLY, SMALL, BLOCK = 5, 0.8, 32, 5, 4, 8, 128
 #: Multipliers (odd) and offsets of the hash functions whose minima are taken.
@@ -67,8 +70,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _with_bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns, ``__node`` and ``__bands``."""
-    names = [*docs.columns, "__node", "__bands"]
+    """All columns, ``__node``, ``__bands`` and ``__fp``, the fingerprint of the set."""
+    names = [*docs.columns, "__node", "__bands", "__fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -77,9 +80,19 @@ def _with_bands(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             node = pa.array([_signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, node, keys], names)
+            fps = pa.array(map(fingerprint_of, sets), pa.int64(), size=len(sets))
+            yield pa.RecordBatch.from_arrays([*batch.columns, node, keys, fps], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__fp", T.LongType())]))
+
+
+def by_fingerprint(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``a, b`` (a > b): candidates that join all nodes whose fingerprints are linked.  prints: ``node, fp`` (distinct nodes)."""
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    found = cut(fingerprint_links(least.select("fp"), distance).distinct())
+    end = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node"))
+    near = found.join(end("a"), "a").join(end("b"), "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    return near.unionAll(prints.join(least, "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
 def _check(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -143,7 +156,7 @@ def dealt(large: DataFrame, block: int) -> DataFrame:
 
 
 def links(sigs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links that join all similar nodes.  sigs: ``node, bands`` (distinct); texts: ``node, text``."""
+    """``a, b``: links that join all similar nodes.  sigs: ``node, bands, fp`` (distinct); texts: ``node, text``."""
     # The lowest bit of a cell's hash says whether its band is one of the later ones.
     late = F.when(F.col("band") < EARLY, F.lit(0)).otherwise(F.lit(1)).cast("long")
     points = sigs.select("node", F.posexplode("bands").alias("band", "least")).select("node", F.xxhash64("band", "least").bitwiseAND(F.lit(-2)).bitwiseOR(late).alias("cell"))
@@ -154,7 +167,8 @@ def links(sigs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity:
     star = members.filter(F.col("n") > small).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"), "cell")
     few = members.filter(F.col("n") <= small)
     all_of = few.groupBy("cell").agg(F.collect_list("node").alias("nodes")).select("nodes", F.explode("nodes").alias("a"), "cell").select("a", F.explode("nodes").alias("b"), "cell").filter("a > b")
-    pairs = cut(two.unionAll(star).unionAll(all_of).groupBy("a", "b").agg(F.min(F.col("cell").bitwiseAND(F.lit(1))).alias("late")))
+    near = by_fingerprint(sigs.select("node", "fp")).withColumn("cell", F.lit(0).cast("long"))  # compared with the early ones
+    pairs = cut(two.unionAll(star).unionAll(all_of).unionAll(near).groupBy("a", "b").agg(F.min(F.col("cell").bitwiseAND(F.lit(1))).alias("late")))
     asked = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
     texts = cut(sifted(texts, asked, "node").join(asked, "node", "left_semi"))
     early = cut(_check(pairs.filter("late = 0").select("a", "b"), texts, shingle, similarity))
@@ -175,9 +189,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     printed = cut(_with_bands(docs, shingle).withColumn("__row", F.monotonically_increasing_id()))
     with scope():
         first = first_rows(printed, "__node")
-        sigs = printed.join(first.select("first.__row"), "__row", "left_semi").select(F.col("__node").alias("node"), F.col("__bands").alias("bands"))
+        sigs = cut(printed.join(first.select("first.__row"), "__row", "left_semi").select(F.col("__node").alias("node"), F.col("__bands").alias("bands"), F.col("__fp").alias("fp")))
         texts = printed.join(first.select("first.__row"), "__row", "left_semi").select(F.col("__node").alias("node"), "text")
         found = components(links(sigs, texts, shingle, similarity), "a", "b").withColumnRenamed("node", "__node")
         rooted = first.select("__node").join(found, "__node", "left").select("__node", F.coalesce("root", "__node").alias("root"))
-        chosen = cut(chosen_rows(first, rooted, "__node"), keep=True)
-    return printed.join(chosen, "__row", "left_semi").select(*docs.columns)
+        others = cut(printed.select("__row").join(chosen_rows(first, rooted, "__node"), "__row", "left_anti"), keep=True)
+    return without(printed, others, "__row").select(*docs.columns)

@@ -54,7 +54,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text, as a signed 64-bit number."""
     if not (text or "").encode().split():
         return 0
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 255):  # a byte holds the count

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("headway.llm")
 
 from headway.llm import chat, components, lm_scoring, packing, quality, queries, sentencepiece_codec, sharding, shingles, simhash, toxicity, url_filter, vectors
-from headway.llm.common import fold
+from headway.llm.common import fold, without
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -386,6 +386,39 @@ def test_shingles_keep_one(spark, small, monkeypatch, small_cell, block):
     assert shingles.keep_one(table.filter("false")).count() == 0
 
 
+def test_shingles_candidates_by_fingerprint(spark, small, monkeypatch):
+    """The stage's fingerprints are SimHash's of five-word shingles; equal and near ones are candidates and are compared."""
+    import xxhash
+
+    texts = [d.text for d in small.orderBy("doc_id").limit(40).collect()]
+    long = [t for t in texts if len(t.split()) > 150]
+    texts += ["Changed " + t for t in long] + [t + " Added" for t in long]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def by_hand(text):
+        words = text.encode().lower().split()
+        hashes = {xxhash.xxh64_intdigest(b" ".join(words[k : k + 5]), seed=42) for k in range(max(1, len(words) - 4))}
+        return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+    printed = shingles._with_bands(table, 5).select("doc_id", F.col("__node").alias("node"), F.col("__fp").alias("fp")).collect()
+    prints = {r.doc_id: r.fp % (1 << 64) for r in printed}
+    assert prints == {i: by_hand(t) for i, t in enumerate(texts)}
+    nodes = {r.node: r.fp % (1 << 64) for r in printed}
+    near = [(a, b) for a, b in itertools.combinations(sorted(nodes), 2) if (nodes[a] ^ nodes[b]).bit_count() <= 4]
+    assert near
+    found = shingles.by_fingerprint(spark.createDataFrame([(n, x - (1 << 64) if x >> 63 else x) for n, x in nodes.items()], "node long, fp long")).collect()
+    assert all(r.a > r.b for r in found)
+    assert brute_components(sorted(nodes), [(r.b, r.a) for r in found]) == brute_components(sorted(nodes), near)
+
+
+@pytest.mark.parametrize("n", [0, 3, 700])
+def test_without_is_exact(spark, n):
+    rows = spark.range(2_000).select("id", F.lit("x").alias("text"), (F.col("id") * 7).alias("other"))
+    got = without(rows, spark.range(n).select((F.col("id") * 2).alias("other")), "other")
+    assert got.columns == rows.columns
+    assert sorted(r.id for r in got.collect()) == [i for i in range(2_000) if not (7 * i % 2 == 0 and 7 * i < 2 * n)]
+
+
 def test_shingles_few_rows_of_a_group_with_a_stranger(spark):
     """5,000 nodes of one root and a stranger: every node meets the stranger, and the rows are a few times the nodes."""
     large = spark.range(5001).select(F.lit(7).cast("long").alias("cell"), F.col("id").alias("node"), F.when(F.col("id") == 4000, 4000).otherwise(0).cast("long").alias("root"))
