@@ -150,6 +150,11 @@ def test_divergence(small, spill, sources, terms):
     assert plainly(divergence.audit(small, 5, 4, spill, sources, terms)) == brute_divergence(small.collect(), 5, 4)
 
 
+def test_terms_by_splitting_are_the_matches():
+    data = b"".join(bytes([a, b]) + b"Ab" for a in range(256) for b in range(256))
+    assert data.translate(divergence.FOLDED).split() == divergence.TERM.findall(data.lower())
+
+
 def test_divergence_of_many_sources_and_partitions(spark):
     rng = random.Random(5)
     words = [f"w{chr(97 + i)}" for i in range(20)] + ["é", "E\u0301", "İ", "ß", "\u2028x"]
