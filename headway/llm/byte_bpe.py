@@ -129,11 +129,15 @@ class RankQueue:
         return run
 
 
-def _of_library(kind: str) -> str:
-    """The characters of a class of the tiktoken library, as a set of ranges."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+def _of_library(kind: str, every: str) -> str:
+    """The characters of a class of the tiktoken library, of all characters."""
     found = Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}).encode_ordinary(every)
-    codes = np.array([ord(c) for c in bytes(found).decode()])
+    return bytes(found).decode()
+
+
+def _ranges(characters: str) -> str:
+    """A pattern's set of characters that are in order."""
+    codes = np.array([ord(c) for c in characters])
     last = np.flatnonzero(np.diff(codes, append=-1) != 1)
     first = np.concatenate(([0], last[:-1] + 1))
     return "[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last, strict=True)) + "]"
@@ -144,14 +148,13 @@ class Splitter:
 
     def __init__(self, pattern: str) -> None:
         self.plain = regex.compile(pattern).findall
-        sets = {kind: _of_library(kind) for kind in CLASSES if kind in pattern}
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        sets = {kind: _of_library(kind, every) for kind in CLASSES if kind in pattern}
         exact = pattern
         for kind, characters in sets.items():
-            exact = exact.replace(kind, characters)
+            exact = exact.replace(kind, _ranges(characters))
         self.exact = regex.compile(exact, regex.V1).findall
-        odd = "|".join(f"[{kind}~~{characters}]" for kind, characters in sets.items())
-        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        self.odd = frozenset(regex.findall(odd, every, regex.V1)) if odd else frozenset()
+        self.odd = frozenset().union(*(set(regex.findall(kind, every)) ^ set(characters) for kind, characters in sets.items()))
         # A quick sieve for most texts: the odd ones of the first plane, and all of the others.
         near = [c for c in sorted(self.odd) if c < "\U00010000"]
         self.sieve = re.compile("[" + "".join(f"\\u{ord(c):04x}" for c in near) + "\U00010000-\U0010ffff]").search
@@ -169,6 +172,7 @@ class Codec:
         self.ranks, self.split = ranks, Splitter(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.none = max(ranks.values(), default=0) + 1  # the id of a gap
+        self.decimal = list(map(str, range(self.none)))
         self.queue = RankQueue(self.none)
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)])
         pairs = {(ranks[t[:i]] * (self.none + 1) + ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
@@ -362,7 +366,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
         out: list[list] = [[], [], []]
         for ids in codec.encode(t.as_py() or "" for t in column):
             out[0].append(len(ids))
-            out[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            out[1].append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
             out[2].append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
 
