@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -753,6 +754,61 @@ def test_codes_are_prefix_codes():
         assert sum(2.0 ** -int(s) for s in code.size[256 * before : 256 * before + 256]) == 1.0
 
 
+def two_byte_codes(texts):
+    """The codes by one byte before, and by the frequent two before."""
+    joined, twos = b"\0".join([b"", *[t + b"\xff" for t in texts]]), Counter()
+    pairs, after = np.zeros((256, 256)), np.zeros((1 << 16, 256))
+    for a, b in itertools.pairwise(joined):
+        pairs[a, b] += 1
+    for a, b, c in zip(joined, joined[1:], joined[2:]):  # noqa: B905
+        if b > 32 and b != 255:
+            twos[256 * a + b] += 1
+            after[256 * a + b, c] += 1
+    often = np.array(sorted(sorted(twos, key=lambda k: (-twos[k], k))[: lm_scoring.TWOS]))
+    return lm_scoring.codes(pairs), lm_scoring.codes(pairs, often, after[often]), (often, after[often])
+
+
+def test_codes_by_two_bytes_take_fewer_decisions(spark, small, monkeypatch):
+    """Decisions are what scoring takes its time for; they are mixed and counted as those of the other codes."""
+    docs = small.limit(40)
+    texts = [*[d.text.encode() for d in docs.collect()], b"", b" x", "\u00fcn\u00ef the".encode()]
+    one, two, want = two_byte_codes(texts)
+    got = lm_scoring.frequent_twos(lm_scoring.token_counts(spark.createDataFrame([(t.decode(),) for t in texts], "text string")))
+    assert all((g == w).all() for g, w in zip(got, want, strict=True))
+    b = lm_scoring.contexts(texts, lm_scoring.joined(texts))
+    index = two.index(b.pair)
+    assert two.size[index].sum() < 0.92 * one.size[b.pair].sum()
+    for row in (0, 65, 256, 300):
+        assert sum(2.0 ** -int(s) for s in two.size[256 * row : 256 * row + 256]) == 1.0
+    slow = [256 * (256 + rows.index(256 * x + y) if 256 * x + y in rows else y) + z for rows in [want[0].tolist()] for t in texts for x, y, z in zip(b"\0\0" + t, b"\0" + t, t + b"\xff", strict=False)]
+    assert index.tolist() == slow
+    slots = lm_scoring.Slots(two)
+    slots.add(texts)
+    slots.flush()
+    for c, bits in enumerate(lm_scoring.BITS):
+        counts = np.zeros((1 << bits, 2))
+        for i, h in zip(slow, b.context[c].tolist(), strict=True):
+            if c < 3 or h:
+                for k in range(int(two.begin[i]), int(two.begin[i] + two.size[i])):
+                    counts[h ^ int(two.node[k]), int(two.bit[k])] += 1
+        assert (counts.ravel() == slots.counts[c]).all()
+    rng = np.random.default_rng(4)
+    mixer = lm_scoring.mixer_of(two, slots.counts, rng.normal(size=(lm_scoring.GATES, lm_scoring.INPUTS)) / lm_scoring.UNIT)
+    some = [*texts[:3], *texts[-3:]]
+    fast, of = mixer.bits(some)[0], lm_scoring.contexts
+    # The slow mixer takes a byte's place in the code for the pair.
+    monkeypatch.setattr(lm_scoring, "contexts", lambda *a: replace(b := of(*a), pair=two.index(b.pair)))
+    assert fast == pytest.approx([slow_bits(mixer, t) for t in some], rel=2e-4)
+
+
+def test_words_are_those_of_split():
+    texts = [b"", b" \t A b\x0b\x0cC\r\n", b"one", b"\x1c\x00 \xc3\x9c", b"", b"two  Words "]
+    words, sizes = lm_scoring.words_of(texts)
+    assert words.to_pylist() == [w for t in texts for w in t.lower().split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert [len(x) for x in lm_scoring.words_of([])] == [0, 0]
+
+
 def test_probabilities_of_short_texts_sum_to_less_than_one():
     texts = [bytes(t) for n in range(9) for t in itertools.product((65, 66), repeat=n)]
     mixer = mixer_of(texts[::7], np.full((lm_scoring.GATES, lm_scoring.INPUTS), 0.3 / lm_scoring.UNIT))
