@@ -264,3 +264,39 @@ def test_registered_models_train_with_all_trees_and_rounds(monkeypatch):
     assert queries._trained(session, "") == (("visits",), {})
     assert training.__dict__["model"].train_random_forest.__defaults__[0] == 30
     assert training.__dict__["model"].train_boosted_trees.__defaults__[0] == 50
+
+
+def test_split_by_marks_is_the_split_by_key(spark):
+    for n in (0, 1, 2, 1003):
+        ids = spark.range(n).select(F.col("id").cast("string").alias("trip_id"))
+        want = {r.trip_id: r.split for r in ranking.split_by_key(ids).collect()}
+        assert {r.trip_id: r.split for r in ids.withColumn("split", ranking.split_by_marks(ids)).collect()} == want
+
+
+def test_training_draws_the_same_rows_without_joining_visits_to_trips(spark, monkeypatch):
+    from headway.queries import visits as fixture
+
+    v = fixture(spark, "/root/testdata/sf0.001").filter("trip_id is not null").withColumn("mark", F.monotonically_increasing_id()).persist()
+    split = ranking.split_by_marks(v.select("trip_id").distinct())
+    sizes = {r.split: r["count"] for r in v.groupBy(split.alias("split")).count().collect()}
+    visit, h = training.VISIT, F.xxhash64(*training.VISIT, F.lit(42))
+    for most in ({"train": 300, "val": 40, "test": 50}, {"train": 10**6, "val": 10**6, "test": 1}):
+        rows = training.drawn(v, split, most, sizes, 42)
+        for name, n in most.items():
+            want = v.withColumn("split", split).filter(F.col("split") == name).orderBy(h, *visit).limit(n).select(*visit).collect()
+            assert sorted(map(str, want)) == sorted(map(str, rows.filter(F.col("split") == name).orderBy(h, *visit).limit(n).select(*visit).collect()))
+    plans = []
+    keep = training.written
+    monkeypatch.setattr(training, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    training.train_delay_model(fixture(spark, "/root/testdata/sf0.001"), trees=1, rounds=1)
+    over_visits = [p for p in plans if "l_shipdate" in p or "l_orderkey" in p]
+    assert len(over_visits) == 2 and all(p.count("Join") == 2 for p in over_visits)  # those of the visits' own tables
+
+
+def test_boosted_trees_are_applied_in_one_call(spark, tmp_path):
+    table = spark.range(200).selectExpr("cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 7 + id % 3 as double) y")
+    fitted = boosting.fit(table, ["a", "b"], "y", rounds=4, depth=2)
+    out = fitted.transform(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(table))
+    assert out._jdf.queryExecution().executedPlan().toString().count("UDF(features") == 1
+    for r in out.select("features", "prediction").distinct().collect():
+        assert r.prediction == pytest.approx(fitted.start + sum(fitted.step * t.predict(r.features) for t in fitted.trees))
