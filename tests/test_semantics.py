@@ -300,3 +300,23 @@ def test_boosted_trees_are_applied_in_one_call(spark, tmp_path):
     assert out._jdf.queryExecution().executedPlan().toString().count("UDF(features") == 1
     for r in out.select("features", "prediction").distinct().collect():
         assert r.prediction == pytest.approx(fitted.start + sum(fitted.step * t.predict(r.features) for t in fitted.trees))
+
+
+def test_model_path_leaves_requests_where_they_lie(spark, requests, index, monkeypatch):
+    """Segments are cut out once for each pair of ends; no exchange or sort of the requests on the way to the stops and statuses."""
+    rows = requests({"request_id": 1, "from_stop_id": 20, "to_stop_id": 40}, {"request_id": 2, "from_stop_id": 40, "to_stop_id": 20}, {"request_id": 3, "from_stop_id": 20, "to_stop_id": 40},
+                    {"request_id": 4, "route_short_name": "Z"}, {"request_id": 5, "from_stop_id": 20, "to_stop_id": 999}, {"request_id": 6, "from_lat": 1.2})
+    delays = SimpleNamespace(transform=lambda df: df.withColumn("prediction", F.lit(1.5)))
+    segments, slice_by_position = [], stops.slice_by_position
+    monkeypatch.setattr(stops, "slice_by_position", lambda asked, *a: segments.append(asked.count()) or slice_by_position(asked, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out, status = eta.eta_from_model(rows, index, delays)
+        assert segments == [3]
+        for table in (out, status):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert [(r.request_id, r.stop_id) for r in out.orderBy("request_id", "seg").collect()] == [(1, 20), (1, 30), (1, 40), (2, 40), (2, 30), (2, 20), (3, 20), (3, 30), (3, 40)]
+        assert {r.request_id: r.status for r in status.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "route_not_found", 5: "stop_not_on_route", 6: "invalid_request"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
