@@ -12,7 +12,7 @@ from headway.functions import geo, text, times
 from headway.operators import baseline, clean, model, profile, ranking, stops
 from headway.plans import eta, training
 from headway.sources import visits as files
-from headway.sources.shared import scratch
+from headway.sources.shared import CLEANUP, delete, move, scratch, settings, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,26 +582,44 @@ def eta_request_stream(spark, d):
     return spark.read.parquet(f"{out}/out").select(*eta.TIMELINE)
 
 
+#: Visits in a file of the stream, about, and days in one at most; files are written for so many days at once.
+FILE_VISITS, FILE_DAYS = 4_000_000, 730
+
+
 def _streamed(spark: SparkSession, d: str, out: str) -> None:
-    """Visits arrive in files of about two years each, and the stream goes on where it stopped when one has come.
+    """Visits arrive in files of two years each, or less where there are many, and the stream goes on where it stopped when one has come.
 
     The last two days of a file come with the next one for a third of the visits, and a fifth of all come twice, half of these
-    with the next file.
+    with the next file.  Files are written for two years at a time and go when the stream has read them, so neither the state nor what
+    lies on disk grows with the number of years.
     """
     from headway.streaming.visits import keep_sums, read_visits
 
     rows, day = visits_by_day(spark, d), F.datediff("seen_at", F.lit("1992-01-01").cast("date"))
+    ship = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.count("*"), *[F.datediff(f("l_shipdate"), F.lit("1992-01-01").cast("date")) for f in (F.min, F.max)]).first()
+    n, first_day, last_day = ship[0], ship[1] or 0, ship[2] or 0
+    days = max(7, min(FILE_DAYS, FILE_VISITS * (last_day - first_day + 1) // max(1, n)))
     key = F.pmod(F.xxhash64("visit_id"), F.lit(30))
-    own, late = F.floor(day / 730), F.floor((day + 2) / 730) > F.floor(day / 730)
+    own, late = F.floor(day / days), F.floor((day + 2) / days) > F.floor(day / days)
     first = own + F.when(late & (key % 3 == 0), 1).otherwise(0)
-    again = rows.filter(key % 5 == 0).withColumn("file", own + F.when(late & (key % 2 == 0), 1).otherwise(F.when(late & (key % 3 == 0), 1).otherwise(0)))
-    both = rows.withColumn("file", first).unionByName(again)
-    both.repartition("file").write.partitionBy("file").parquet(f"{out}/all")
-    for (k,) in sorted(both.select("file").distinct().collect()):  # at most five
-        spark.read.schema(rows.schema).parquet(f"{out}/all/file={k}").write.mode("append").parquet(f"{out}/in")
-        keep_sums(read_visits(spark, f"{out}/in", rows.schema, 1000), f"{out}/sums", f"{out}/state", LATENESS).awaitTermination()
-
-
+    again = own + F.when(late & (key % 2 == 0), 1).otherwise(F.when(late & (key % 3 == 0), 1).otherwise(0))
+    arrivals = F.when(key % 5 == 0, F.array(first, again)).otherwise(F.array(first))
+    at_once = max(1, FILE_DAYS // days)
+    for start in range(first_day // days, (last_day + 2) // days + 1, at_once):
+        ends = start * days - 2, (start + at_once) * days
+        some = rows.filter((day >= ends[0]) & (day < ends[1])).withColumn("file", F.explode(arrivals)).filter(F.col("file").between(start, start + at_once - 1))
+        with settings(spark, {CLEANUP: "true"}):
+            some.write.partitionBy("file").parquet(f"{out}/all/{start}")
+        for k in range(start, start + at_once):
+            if move(spark, f"{out}/all/{start}/file={k}", f"{out}/in/{k}"):
+                # All of a file in one batch: visits behind the watermark of a batch before would be too late.
+                keep_sums(read_visits(spark, f"{out}/in/*", rows.schema, 1_000_000), f"{out}/sums", f"{out}/state", LATENESS, STATE_TASKS).awaitTermination()
+                delete(spark, f"{out}/in/{k}")
+        delete(spark, f"{out}/all/{start}")
+    delete(spark, f"{out}/state")
+
+
+STATE_TASKS = 12
 LATENESS = "4 days"
 
 
@@ -627,7 +645,7 @@ def eta_from_streamed_visits(spark, d):
     stops.stop_catalogue(clean.route_keys(visits(spark, d))).write.parquet(f"{out}/catalogue")
 
     def base() -> eta.Base:
-        sums = sums_at(spark, f"{out}/sums")
+        sums = written(sums_at(spark, f"{out}/sums"))
         return eta.Base(sums, spark.read.parquet(f"{out}/catalogue"), baseline.representative_from_sums(sums))
 
     answer(read_requests(spark, f"{out}/requests", rows.schema), base, f"{out}/answers", f"{out}/answer_state").awaitTermination()

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from headway.operators import clean
 from headway.operators.baseline import SLOT, sums_of_days
+from headway.sources.shared import CLEANUP, settings
 
 
 def read_visits(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -26,19 +27,26 @@ def read_visits(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 def delay_sums(raw: DataFrame, lateness: str) -> DataFrame:
     """The stream of delay sums by day and slot; a visit counts once, however often it comes within the watermark."""
-    visits = clean.clean_stop_visits(raw).withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(["visit_id"])
+    rows = clean.clean_stop_visits(raw).select("visit_id", "seen_at", "service_day", *SLOT, "delay_minutes")
+    visits = rows.withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(["visit_id"])
     # The end of the day's window lets the state of a day go; the day itself may be longer than the window.
     day = F.window("seen_at", "1 day")
     return visits.groupBy(day, "service_day", *SLOT).agg(F.sum("delay_minutes").alias("total"), F.count("delay_minutes").alias("n"), F.count("stop_id").alias("visits"))
 
 
-def keep_sums(raw: DataFrame, path: str, checkpoint: str, lateness: str) -> StreamingQuery:
-    """Write each batch's changed sums to ``path``/version=N."""
+def keep_sums(raw: DataFrame, path: str, checkpoint: str, lateness: str, tasks: int | None = None) -> StreamingQuery:
+    """Write each batch's changed sums to ``path``/version=N.
+
+    tasks: parts of the state, set when the stream first starts (the session's number of shuffle partitions by default).  Of the
+    state's files only those stay that the last two batches need; versions of the sums are all kept.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.select(F.col("window.start").alias("day"), "service_day", *SLOT, "total", "n", "visits").write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return delay_sums(raw, lateness).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    held = {CLEANUP: "true", "spark.sql.streaming.minBatchesToRetain": "2"} | ({"spark.sql.shuffle.partitions": str(tasks)} if tasks else {})
+    with settings(raw.sparkSession, held):  # a stream keeps the settings with which it starts
+        return delay_sums(raw, lateness).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, path: str) -> int:

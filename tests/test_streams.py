@@ -141,3 +141,35 @@ def test_range_join_meets_about_its_result(spark):
     assert {(r.a, r.pos) for r in got.collect()} == {(i * 17, p) for i in range(200) for p in range(i * 17, i * 17 + i % 9 + 1) if p < 4000}
     met = asked.withColumn("bin", F.explode(F.sequence(F.floor(low / stops.BIN), F.floor(high / stops.BIN)))).count() * stops.BIN
     assert met < 200 * 3 * stops.BIN  # and not 200 * 4000
+
+
+def test_many_visits_come_in_short_files_that_go_when_read(spark, duck, tmp_path, monkeypatch):
+    from conftest import plain
+
+    from headway import oracles, queries
+    from headway.streaming import visits as streamed
+
+    seen, keep = [], stream.keep_sums
+
+    def watched(raw, path, checkpoint, *more):
+        seen.append((len(list(tmp_path.glob("in/*"))), raw.sparkSession.read.parquet(str(tmp_path / "in/*")).count()))
+        return keep(raw, path, checkpoint, *more)
+
+    monkeypatch.setattr(queries, "FILE_VISITS", 1000)
+    monkeypatch.setattr(streamed, "keep_sums", watched)
+    queries._streamed(spark, "/root/testdata/sf0.001", str(tmp_path))
+    assert len(seen) > 5 and all(dirs == 1 and n < 2000 for dirs, n in seen)
+    assert not list(tmp_path.glob("in/*")) and not list(tmp_path.glob("all/*")) and not (tmp_path / "state").exists()
+    got = stream.sums_at(spark, str(tmp_path / "sums"))
+    cursor = duck.execute(oracles.oracle_sql()["streamed_sums"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(tuple(map(plain, r)) for r in got.select(*names).collect()) == sorted(tuple(map(plain, r)) for r in cursor.fetchall())
+
+
+def test_settings_of_the_stream_are_its_own(spark, arrive, tmp_path):
+    spark.createDataFrame([visit("a", 1)], RAW).write.parquet(str(tmp_path / "some"))
+    stream.keep_sums(stream.read_visits(spark, str(tmp_path / "some"), RAW, 1), str(tmp_path / "s"), str(tmp_path / "c"), "3 days", 2).awaitTermination()
+    assert "\"spark.sql.shuffle.partitions\":\"2\"" in (tmp_path / "c/offsets/0").read_text()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "100"
+    arrive(visit("a", 1))
+    assert "\"spark.sql.shuffle.partitions\":\"4\"" in (tmp_path / "state/offsets/0").read_text()
