@@ -46,6 +46,8 @@ from .components import components
 
 COSINE, SHARD, SAMPLE, BRANCH, LEVELS, MOST, OVERLAP, CLOSE, BEAM, DEGREE, ALPHA = 0.93, 1024, 4096, 64, 12, 0.5, 3, 0.2, 16, 24, 1.2
 RECALL, AUDIT, FEW, TRIES = 0.98, 1000, 8, 3
+#: Shards that a table sent to all tasks may list.
+FEW_SHARDS = 200_000
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +56,10 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # -0.0 and 0.0 are equal
     clean = F.transform(v, lambda x: x + F.lit(0.0))
-    rows = cut(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.when(F.coalesce(fine, F.lit(False)), clean).alias("v")).withColumn("node", F.when(F.col("v").isNotNull(), F.concat_ws("-", F.lower(F.hex(F.xxhash64("label", "v"))), F.lower(F.hex(F.xxhash64(F.lit(1), "v", "label")))))))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.when(F.coalesce(fine, F.lit(False)), clean).alias("v"))
+    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.concat_ws("-", F.lower(F.hex(F.xxhash64("label", "v"))), F.lower(F.hex(F.xxhash64(F.lit(1), "v", "label"))))))
+    if dict(vectors.dtypes)["embedding"] == "array<float>":  # half the size on the way; tasks compute in double precision
+        rows = rows.withColumn("v", F.col("v").cast("array<float>"))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     return rows.select("vec_id", "node"), nodes.select("node", F.concat_ws("|", "label", F.size("v")).alias("group"), "v", "n", "least")
 
@@ -97,12 +102,13 @@ def _nearest(x: np.ndarray, centres: np.ndarray, cuts: np.ndarray) -> tuple[np.n
     return best, away - away[:, :1]
 
 
-PLACED = "node string, group string, shard string, v array<double>, n long, home boolean"
+PLACED = "node string, group string, shard string, v {}, n long, home boolean"
 
 
 def assign(nodes: DataFrame, overlap: int = OVERLAP, shard: int = SHARD, close: float = CLOSE) -> DataFrame:
     """``node, group, shard, v, n, home`` for each node and each of its shards: at most ``overlap`` rows a node, exactly one of them at home."""
     # left: how many further shards a node at home may still go to.
+    placed = PLACED.format(nodes.schema["v"].dataType.simpleString())
     done, rest = None, nodes.select("node", "group", F.lit("").alias("shard"), "v", "n", F.lit(True).alias("home"), F.lit(overlap - 1).alias("left"))
     for level in range(LEVELS + 1):
         sizes = cut(rest.groupBy("group", "shard").agg(F.count_if("home").alias("total")).filter(F.col("total") > shard))
@@ -116,8 +122,6 @@ def assign(nodes: DataFrame, overlap: int = OVERLAP, shard: int = SHARD, close:
             return done.unionByName(rest.withColumn("shard", F.concat_ws("#", "shard", part)).drop("total", "left"))
         salt = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("total") / SAMPLE))
         sample = rest.filter(F.col("home") & (salt == 0)).select("node", "group", "shard", "v", "total")
-        centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>, cuts array<double>"))
-
         def children(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for _, g in f.groupby(["group", "shard"], sort=False):
@@ -125,17 +129,19 @@ def assign(nodes: DataFrame, overlap: int = OVERLAP, shard: int = SHARD, close:
                     names = [[f"{s}.{j}" for j in js] for s, js in zip(g["shard"], best, strict=True)]
                     yield g[["node", "group", "v", "n", "home", "left"]].assign(shard=[n[0] for n in names], others=[n[1:] for n in names], more=list(more[:, 1:]))
 
-        # At most BRANCH vectors for each shard that is split, joined by shard; adaptive execution splits a large one.
-        split = cut(rest.drop("total").join(centres, ["group", "shard"]).mapInPandas(children, f"{PLACED}, left int, others array<string>, more array<double>"))
-        large = split.groupBy("group", "shard").agg(F.count_if("home").alias("total")).filter(F.col("total") > shard).select("group", "shard", F.lit(True).alias("large"))
-        split = split.join(large, ["group", "shard"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
-        # Further shards: where the home is split again, one and only for a node that has none yet; else as many as are left.
-        near = F.filter(F.arrays_zip("others", "more"), lambda o: o["more"] <= F.when(F.col("large"), close / 2).otherwise(close))
-        most = F.when(~F.col("home"), 0).when(F.col("large"), F.when(F.col("left") == overlap - 1, F.least(F.lit(1), "left")).otherwise(0)).otherwise(F.col("left"))
-        split = split.withColumn("near", F.transform(F.slice(near, F.lit(1), most), lambda o: o["others"]))
-        own = split.withColumn("left", F.col("left") - F.size("near")).select("node", "group", "shard", "v", "n", "home", "left")
-        further = split.select("node", "group", F.explode("near").alias("shard"), "v", "n", F.lit(False).alias("home"), F.lit(0).alias("left"))
-        rest = cut(own.unionByName(further))
+        with scope():
+            centres = cut(sample.groupBy("group", "shard").applyInPandas(lambda f: _centres(f, shard), "group string, shard string, centres array<array<double>>, cuts array<double>"))
+            # At most BRANCH vectors for each shard that is split, joined by shard; adaptive execution splits a large one.
+            split = cut(rest.drop("total").join(centres, ["group", "shard"]).mapInPandas(children, f"{placed}, left int, others array<string>, more array<double>"))
+            large = split.groupBy("group", "shard").agg(F.count_if("home").alias("total")).filter(F.col("total") > shard).select("group", "shard", F.lit(True).alias("large"))
+            split = split.join(large, ["group", "shard"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+            # Further shards: where the home is split again, one and only for a node that has none yet; else as many as are left.
+            near = F.filter(F.arrays_zip("others", "more"), lambda o: o["more"] <= F.when(F.col("large"), close / 2).otherwise(close))
+            most = F.when(~F.col("home"), 0).when(F.col("large"), F.when(F.col("left") == overlap - 1, F.least(F.lit(1), "left")).otherwise(0)).otherwise(F.col("left"))
+            split = split.withColumn("near", F.transform(F.slice(near, F.lit(1), most), lambda o: o["others"]))
+            own = split.withColumn("left", F.col("left") - F.size("near")).select("node", "group", "shard", "v", "n", "home", "left")
+            further = split.select("node", "group", F.explode("near").alias("shard"), "v", "n", F.lit(False).alias("home"), F.lit(0).alias("left"))
+            rest = cut(own.unionByName(further), keep=True)
     raise AssertionError
 
 
@@ -220,18 +226,18 @@ FOUND = "kind string, a string, b string, links long, entry string"
 def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
     """Search one shard for a block of queries.  Rows: ``count`` (links of a), ``link`` (a and b), ``go`` (a is to visit b).
 
-    f: nodes (``near``, ``shards``, ``home``) and queries (``query``), with the ``root`` of what is known to be joined already;
-    links are between roots.  No beam: all nodes are met.
+    f: nodes (``near``, ``shards``, ``home``) and queries (``query``).  A query without a vector is one of the nodes, and has that one's.  No beam: all nodes are met.
     """
     queries, nodes = f[f["query"]], f[~f["query"]]
     if not len(queries) or not len(nodes):
         return pd.DataFrame({"kind": [], "a": [], "b": [], "links": [], "entry": []}).astype({"links": "int64"})
     here, names, asked = f["shard"].iloc[0], nodes["node"].to_numpy(str), queries["node"].to_numpy(str)
-    x = _unit(nodes["v"])
-    sims = _unit(queries["v"]) @ x.T
+    x, at = _unit(nodes["v"]), {n: i for i, n in enumerate(names)}
+    own = nodes["v"].to_numpy()
+    sims = _unit([own[at[n]] if v is None else v for n, v in zip(asked, queries["v"], strict=True)]) @ x.T
     met = sims >= cosine
     if beam is not None:
-        at, by_key = {n: i for i, n in enumerate(names)}, {k: i for i, k in enumerate(nodes["key"].tolist())}
+        by_key = {k: i for i, k in enumerate(nodes["key"].tolist())}
         lists = [[by_key[m] for m in ms if m in by_key] for ms in nodes["near"]]
         heads = np.concatenate(([0], np.cumsum([len(m) for m in lists])))
         medoid = int((x @ x.mean(axis=0)).argmax())
@@ -239,7 +245,7 @@ def _search(f: pd.DataFrame, cosine: float, beam: int | None) -> pd.DataFrame:
         met &= _range_search(sims, heads, np.array([m for ms in lists for m in ms], int), medoid, entry, cosine, beam)
     met &= asked[:, None] != names[None, :]
     home = nodes["home"].to_numpy(bool)
-    a, b = _forest(met, queries["root"].to_numpy(str), nodes["root"].to_numpy(str))
+    a, b = _forest(met, asked, names)
     out = [pd.DataFrame({"kind": "count", "a": asked.astype(object), "b": None, "links": met @ (home * nodes["n"].to_numpy()), "entry": None}), pd.DataFrame({"kind": "link", "a": a, "b": b, "links": 0, "entry": None})]
     if beam is not None:
         others = sorted({s for ss in nodes["shards"] for s in ss} - {here})
@@ -256,35 +262,47 @@ def search(nodes: DataFrame, cosine: float, overlap: int, beam: int | None, shar
     """Rows of ``FOUND``, of kind ``count`` and ``link``.  No beam: every query is compared with all shards of its group, and no node lies in two."""
     with scope():
         overlap = 1 if beam is None else overlap
-        placed = cut(assign(nodes, overlap, shard, close))
-        if placed.count() > overlap * nodes.count():
-            raise AssertionError("more copies of nodes than the overlap allows")
         key = ["group", "shard"]
-        if beam is None:
-            members = placed.withColumns({"near": F.array().cast("array<long>"), "shards": F.array().cast("array<string>")})
-            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("node").alias("entry")).join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
-        else:
-            graph = placed.withColumn("key", F.xxhash64("node")).groupBy(*key).applyInPandas(_build, "node string, near array<long>")
-            united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-            lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap
-            members = cut(placed.join(united, "node").join(lies, "node"))
-            asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"), F.col("node").alias("entry"))
-        visits, found = cut(asked), None
+        with scope():  # the nodes in their shards go when all that is made of them is written
+            with scope():
+                placed = cut(assign(nodes, overlap, shard, close), keep=True)
+            if placed.count() > overlap * nodes.count():
+                raise AssertionError("more copies of nodes than the overlap allows")
+            if beam is None:
+                members = cut(placed.withColumns({"near": F.array().cast("array<long>"), "shards": F.array().cast("array<string>")}), keep=True)
+                asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("node").alias("entry")).join(placed.select(*key).distinct().withColumnRenamed("shard", "b"), "group")
+            else:
+                graph = placed.withColumn("key", F.xxhash64("node")).groupBy(*key).applyInPandas(_build, "node string, near array<long>")
+                united = cut(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+                lies = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # at most overlap
+                members = cut(placed.join(united.join(lies, "node"), "node"), keep=True)
+                asked = placed.filter("home").select(F.col("node").alias("a"), "group", F.col("shard").alias("b"), F.col("node").alias("entry"))
+            visits, found = cut(asked, keep=True), None
         seen = visits.select("a", "b")
-        rooted = nodes.select("node", F.col("node").alias("root"))
+        vector = nodes.schema["v"].dataType.simpleString()
         while True:
-            blocks = visits.groupBy("group", "b").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks")).withColumnRenamed("b", "shard")
+            # A row for each shard that is visited, so hundreds of times fewer than nodes; as a table that joins don't deal vectors for.
+            blocks = cut(visits.groupBy("group", "b").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks")).withColumnRenamed("b", "shard"))
+            blocks = F.broadcast(blocks) if blocks.count() <= FEW_SHARDS else blocks
             own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard"), "entry").join(nodes.select("node", "v", "n"), "node").join(rooted, "node").join(blocks, key)
-            queries = queries.select("node", "root", "entry", *key, "v", "n", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), F.xxhash64("node").alias("key"), own.alias("block"), F.lit(True).alias("query"))
-            nodes_here = members.join(blocks, key).join(rooted, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            nodes_here = nodes_here.select("node", "root", F.lit(None).cast("string").alias("entry"), *key, "v", "n", "home", "near", "shards", F.xxhash64("node").alias("key"), "block", F.lit(False).alias("query"))
+            queries = visits.select(F.col("a").alias("node"), "group", F.col("b").alias("shard"), "entry").join(blocks, key)
+            # At first queries are at home, where their vectors are.
+            at_home = found is None and beam is not None
+            queries = queries.withColumn("v", F.lit(None).cast(vector)) if at_home else queries.join(nodes.select("node", "v"), "node")
+            queries = queries.select("node", "entry", *key, "v", F.lit(0).cast("long").alias("n"), F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<string>").alias("shards"), F.xxhash64("node").alias("key"), own.alias("block"), F.lit(True).alias("query"))
+            nodes_here = members.join(blocks, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            nodes_here = nodes_here.select("node", F.lit(None).cast("string").alias("entry"), *key, "v", "n", "home", "near", "shards", F.xxhash64("node").alias("key"), "block", F.lit(False).alias("query"))
             rows = queries.unionByName(nodes_here).groupBy(*key, "block").applyInPandas(lambda f: _search(f, cosine, beam), FOUND)
             rows = cut(rows, keep=True)
-            if found is None and beam is not None:  # what is joined by now needs no link any more
-                joined = components(rows.filter("kind = 'link'"), "a", "b")
-                rooted = cut(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-            found = rows if found is None else found.unionByName(rows)
+            if found is None:
+                found = rows
+                joined = None if beam is None else cut(components(rows.filter("kind = 'link'"), "a", "b"))
+            else:  # what was joined by the first round needs no link any more
+                ends = rows.filter("kind = 'link'").select("a", "b")
+                for side in ("a", "b"):
+                    ends = ends.join(joined.withColumnsRenamed({"node": side, "root": f"{side}_root"}), side, "left").withColumn(side, F.coalesce(f"{side}_root", side))
+                ends = ends.filter("a != b").select(F.lit("link").alias("kind"), "a", "b", F.lit(0).cast("long").alias("links"), F.lit(None).cast("string").alias("entry")).distinct()
+                found = found.unionByName(rows.filter("kind != 'link'")).unionByName(cut(ends, keep=True))
             if beam is None:
                 break
             go = rows.filter("kind = 'go'").groupBy("a", "b").agg(F.min("entry").alias("entry")).join(nodes.select(F.col("node").alias("a"), "group"), "a").join(seen, ["a", "b"], "left_anti")

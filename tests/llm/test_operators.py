@@ -1081,3 +1081,24 @@ def test_sharding(spark, small, odd, none):
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = {r.shard: r["count"] for r in sharding.assign(many, (1.0, 3.0)).groupBy("shard").count().collect()}
     assert got[1] / 20_000 == pytest.approx(0.75, abs=0.02)
+
+
+def test_near_dedup_holds_vectors_twice_at_most_while_it_searches(spark, monkeypatch):
+    """As they are and in their shards, in the precision that they came in."""
+    import os
+
+    held, searches, keep = [], [], vectors.cut
+
+    def watched(df, **more):
+        out = keep(df, **more)
+        if "v" in df.columns:
+            assert dict(df.dtypes)["v"] == "array<float>"
+            held.append(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+        if df.columns == ["kind", "a", "b", "links", "entry"]:
+            searches.append(sum(map(os.path.isdir, held)))
+        return out
+
+    monkeypatch.setattr(vectors, "cut", watched)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert vectors.link(table, shard=32).count() == table.count()
+    assert len(held) > 3 and searches and max(searches) <= 2
